@@ -1,0 +1 @@
+"""Intentionally empty: every input of this engine is a whole, bounded table, so there is no stream to run."""
