@@ -6,7 +6,7 @@ import re
 
 from oracles.fixtures import FIXTURES
 from spendlens.operators import report_texts as text
-from spendlens.plans.catalog import BOUNDS_SCENARIOS, SHARE_SCENARIOS
+from spendlens.plans.catalog import BOUNDS_SCENARIOS, RATIOS, SHARE_SCENARIOS
 
 CHANNELS = ("email", "organic", "paid_social", "referral", "search")
 MONEY = "DECIMAL(18,4)"
@@ -28,12 +28,20 @@ def div(num: str, den: str, otherwise: str = "0.0") -> str:
     return f"CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) ELSE {otherwise} END"
 
 
+def rounded(expression: str, digits: int) -> str:
+    return f"round(CAST({expression} AS DOUBLE), {digits})"
+
+
 def r4(expression: str) -> str:
-    return f"round(CAST({expression} AS DOUBLE), 4)"
+    return rounded(expression, 4)
+
+
+def r10(expression: str) -> str:
+    return rounded(expression, 10)
 
 
-def cols(*names: str) -> str:
-    return ", ".join(f"{r4(n)} AS {n}" for n in names)
+def cols(*names: str, digits: int = 4) -> str:
+    return ", ".join(f"{rounded(n, 10 if n in RATIOS else digits)} AS {n}" for n in names)
 
 
 def channel(expression: str) -> str:
@@ -350,8 +358,8 @@ SELECT scenario_id, channel, budget_total, min_spend, max_spend, weight, round(a
 
 def impact_of_plan(horizon: str, best: str, worst: str) -> str:
     return f"""
-SELECT scenario_id, {cols("baseline_revenue", "new_revenue", "increase")},
-       {r4(best)} AS best_increase, {r4(worst)} AS worst_increase
+SELECT scenario_id, {cols("baseline_revenue", "new_revenue", "increase", digits=0)},
+       {rounded(best, 0)} AS best_increase, {rounded(worst, 0)} AS worst_increase
 FROM (SELECT *, new_revenue - baseline_revenue AS increase FROM
  (SELECT scenario_id, h.baseline AS baseline_revenue, h.n_days * ((SELECT b FROM intercept)
          + (SELECT coefficient FROM coef WHERE feature = 'day_of_week') * h.dow
@@ -490,7 +498,7 @@ SELECT session_id, user_id, session_ts, session_date, device, channel, campaign_
     "fact_channel_daily": f"SELECT {FCH} FROM fch",
     "curated_rescan": f"SELECT {FCH} FROM fch",
     "channel_roas": f"""
-SELECT channel, {cols("attributed_revenue", "spend")}, {r4(div("attributed_revenue", "spend"))} AS ROAS
+SELECT channel, {cols("attributed_revenue", "spend")}, {r10(div("attributed_revenue", "spend"))} AS ROAS
 FROM (SELECT channel, sum(attributed_revenue) AS attributed_revenue, sum(total_spend) AS spend FROM fch
       GROUP BY channel) g""",
     "campaign_daily": f"""SELECT date, campaign_id, channel, impressions, clicks, attributed_sessions, attributed_orders,
@@ -552,8 +560,8 @@ FROM top_seg""",
     "attributed_roas": f"""SELECT channel, attributed_orders,
        {cols("attributed_revenue", "spend", "attributed_ROAS")} FROM aroas""",
     "roas_comparison": f"""
-SELECT s.channel, {r4("s.ROAS")} AS simple_ROAS, {r4("a.attributed_ROAS")} AS last_touch_ROAS,
-       {r4("abs(s.ROAS - a.attributed_ROAS)")} AS roas_difference
+SELECT s.channel, {r10("s.ROAS")} AS simple_ROAS, {r10("a.attributed_ROAS")} AS last_touch_ROAS,
+       {r10("abs(s.ROAS - a.attributed_ROAS)")} AS roas_difference
 FROM simple_roas s LEFT JOIN aroas a ON s.channel = a.channel""",
     "daily_regression": f"""SELECT date, day_of_week, promo_flag, is_test,
        {cols("daily_revenue", "total_spend", *(f"spend_{c}" for c in CHANNELS))} FROM reg""",
@@ -566,7 +574,7 @@ FROM predicted WHERE is_test""",
     "regression_coefficients": f"""SELECT feature, {cols("coefficient")},
        {r4("abs(coefficient)")} AS absolute_coefficient FROM coef""",
     "channel_performance": f"""
-SELECT a.channel, {r4("a.attributed_ROAS")} AS attributed_ROAS, {r4("c.coefficient")} AS regression_coefficient,
+SELECT a.channel, {r10("a.attributed_ROAS")} AS attributed_ROAS, {r4("c.coefficient")} AS regression_coefficient,
        {r4("c.coefficient + (SELECT b FROM shared)")} AS marginal_effect
 FROM aroas a LEFT JOIN coef c ON c.feature = 'spend_' || a.channel""",
     "order_margin": f"SELECT order_id, {cols('revenue', 'cost', 'margin')} FROM omargin",
@@ -575,7 +583,7 @@ SELECT channel, {r4("coalesce(sum(margin), 0)")} AS attributed_margin
 FROM (SELECT * FROM fs WHERE purchase_flag = 1
       QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY session_ts, session_id) = 1) o
 LEFT JOIN omargin m ON o.order_id = m.order_id WHERE channel IS NOT NULL GROUP BY channel""",
-    "channel_metrics": f"SELECT {METRICS} FROM metrics_90",
+    "channel_metrics_quarter": f"SELECT {METRICS} FROM metrics_90",
     "channel_metrics_lookback": f"SELECT {METRICS} FROM ({metrics(9)}) m",
     "channel_metrics_all_margin": f"SELECT {METRICS} FROM ({metrics(9, True)}) m",
     "rounded_report": """SELECT channel, attributed_orders, """
@@ -585,23 +593,23 @@ LEFT JOIN omargin m ON o.order_id = m.order_id WHERE channel IS NOT NULL GROUP B
     )
     + " FROM metrics_90",
     "allocate_share": "SELECT scenario_id, channel, "
-    + cols("budget_total", "allocated_spend", "allocated_pct", "unallocated", "roas", "margin_per_dollar")
+    + cols("budget_total", "allocated_spend", "allocated_pct", "unallocated", "roas", "margin_per_dollar", digits=2)
     + " FROM share",
     "impact": "SELECT scenario_id, channel, "
     + cols(
         "allocated_spend", "allocated_pct", "roas", "margin_per_dollar", "base_revenue", "best_revenue",
-        "worst_revenue", "base_margin", "best_margin", "worst_margin",
+        "worst_revenue", "base_margin", "best_margin", "worst_margin", digits=2,
     )
     + " FROM impact_rows",
     "impact_totals": "SELECT scenario_id, "
     + ", ".join(
-        f"{r4(f'sum({c})')} AS {c}"
+        f"{rounded(f'sum({c})', 2)} AS {c}"
         for c in ("base_revenue", "best_revenue", "worst_revenue", "base_margin", "best_margin", "worst_margin")
     )
     + " FROM impact_rows GROUP BY scenario_id",
     "sensitivity": f"""
 SELECT scenario_id, CAST(r AS INT) AS roas_change_pct, CAST(b AS INT) AS budget_change_pct,
-       {r4("sum(allocated_spend * roas) * (1 + r / 100.0e0) * (1 + b / 100.0e0)")} AS estimated_revenue
+       {rounded("sum(allocated_spend * roas) * (1 + r / 100.0e0) * (1 + b / 100.0e0)", 2)} AS estimated_revenue
 FROM share CROSS JOIN (VALUES (-10), (0), (10)) x(r) CROSS JOIN (VALUES (-10), (0), (10)) y(b)
 GROUP BY scenario_id, r, b""",
     "allocate_bounds": "SELECT scenario_id, channel, infeasible, "

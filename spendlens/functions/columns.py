@@ -23,23 +23,27 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def money(value: Column | str) -> Column:
-    return as_column(value).cast(MONEY)
+def money(value: str) -> Column:
+    """A SQL expression as an exact amount."""
+    return F.expr(f"CAST({value} AS {MONEY.simpleString()})")
 
 
-def money_sum(value: Column | str) -> Column:
+def money_sum(value: str) -> Column:
     """Exact sum; the result keeps one decimal width however often sums are summed."""
-    return F.sum(as_column(value)).cast(MONEY_TOTAL)
+    return F.expr(f"CAST(sum({value}) AS {MONEY_TOTAL.simpleString()})")
 
 
-def whole_sum(value: Column | str) -> Column:
-    return F.sum(as_column(value)).cast("bigint")
+def whole_sum(value: str) -> Column:
+    return F.expr(f"CAST(sum({value}) AS BIGINT)")
 
 
-def ratio(numerator: Column | str, denominator: Column | str, default: float | None = 0.0) -> Column:
+def ratio(numerator: str, denominator: str, default: float | None = 0.0) -> Column:
     """numerator / denominator where the denominator is positive, else ``default`` (None gives NULL)."""
-    num, den = as_column(numerator), as_column(denominator)
-    return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(default).cast("double"))
+    otherwise = "NULL" if default is None else f"{default}D"
+    return F.expr(
+        f"CASE WHEN {denominator} > 0 THEN CAST({numerator} AS DOUBLE) / CAST({denominator} AS DOUBLE) "
+        f"ELSE CAST({otherwise} AS DOUBLE) END"
+    )
 
 
 def canonical_channel(channel: Column | str) -> Column:

@@ -35,10 +35,8 @@ def fill_media_nulls(ad_spend: DataFrame) -> DataFrame:
 
 def upper_fence(df: DataFrame, column: str, multiplier: float) -> DataFrame:
     """One row: Q3 + multiplier x (Q3 - Q1) of the column."""
-    quartiles = exact_quantiles(df, column, [0.25, 0.75])
-    q1 = F.max(F.when(F.col("probability") == 0.25, F.col("quantile")))
-    q3 = F.max(F.when(F.col("probability") == 0.75, F.col("quantile")))
-    return quartiles.agg(money(q3 + F.lit(multiplier) * (q3 - q1)).alias("fence"))
+    quartiles = exact_quantiles(df, column, {"q1": 0.25, "q3": 0.75})
+    return quartiles.select(money(f"q3 + {multiplier}D * (q3 - q1)").alias("fence"))
 
 
 def flag_outliers(df: DataFrame, column: str, fence: Column | str) -> DataFrame:

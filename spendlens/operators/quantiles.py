@@ -2,70 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# An order-preserving bucket about 0.03 % of the value wide: at most ~200,000 buckets for any decimal(18,4).
 STEPS_PER_DOUBLING = 2048
+BUCKET = f"CAST(signum(v) * floor(log2(abs(v) + 1) * {STEPS_PER_DOUBLING}) AS BIGINT) AS bucket"
 
 
-def _magnitude_bucket(value: Column) -> Column:
-    """Order-preserving bucket about 0.03 % of the value wide: at most ~200,000 buckets for any decimal(18,4)."""
-    return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * STEPS_PER_DOUBLING)).cast("bigint")
-
-
-def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
-    """Rows (probability, quantile): linear interpolation between the two neighbouring ranks, NULLs ignored.
+def exact_quantiles(df: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:
+    """One row with a column per named probability, interpolated between neighbouring ranks; NULLs are ignored.
 
     Pass 1 counts rows per bucket (combined on the map side) and finds the bucket of each wanted rank from running
     totals over the bounded bucket list. Pass 2 counts equal values inside those few buckets only and picks the value
     at each rank. No task ever holds more than the bucket list or one bucket's distinct values.
     """
-    values = (
-        df.select(F.col(column).cast("double").alias("v"))
-        .where(F.col("v").isNotNull())
-        .select("v", _magnitude_bucket(F.col("v")).alias("bucket"))
-    )
-    ascending = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = (
+    values = df.selectExpr(f"CAST({column} AS DOUBLE) AS v").where("v IS NOT NULL").selectExpr("v", BUCKET)
+    names = ", ".join(f"struct('{name}' AS name, {float(p)}D AS p)" for name, p in probabilities.items())
+    ranks = (
         values.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
+        .agg(F.expr("count(1) AS n"))
+        .selectExpr(
             "bucket",
-            (F.sum("n").over(ascending) - F.col("n")).alias("lo"),
-            F.sum("n").over(ascending).alias("hi"),
-            F.sum("n").over(Window.partitionBy()).alias("total"),
+            "n",
+            "sum(n) OVER (ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS hi",
+            "sum(n) OVER () - 1 AS last_rank",
         )
-    )
-    position = F.col("probability") * (F.col("total") - 1)
-    ranks = (
-        spans.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumns({"base": F.floor(position), "upper_weight": position - F.floor(position)})
-        .withColumn(
-            "target",
-            F.explode(
-                F.array(
-                    F.struct(F.col("base").alias("rank"), (1 - F.col("upper_weight")).alias("weight")),
-                    F.struct((F.col("base") + 1).alias("rank"), F.col("upper_weight").alias("weight")),
-                )
-            ),
+        # Exploded only after the windows: in one select Spark would explode first and count every bucket twice.
+        .selectExpr("bucket", "hi - n AS lo", "hi", "last_rank", f"explode(array({names})) AS wanted")
+        .selectExpr("bucket", "lo", "hi", "wanted.name", "wanted.p * last_rank AS position")
+        .selectExpr("*", "floor(position) AS base", "position - floor(position) AS share")
+        .selectExpr(
+            "*",
+            "explode(array(struct(base AS rank, 1 - share AS weight), struct(base + 1 AS rank, share AS weight))) AS t",
         )
-        .select("probability", "bucket", "lo", "hi", "target.rank", "target.weight")
-        .where((F.col("weight") > 0) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-        .select("probability", "bucket", "weight", (F.col("rank") - F.col("lo")).alias("rank_in_bucket"))
+        .where("t.weight > 0 AND t.rank >= lo AND t.rank < hi")
+        .selectExpr("bucket", "name", "t.rank", "t.weight", "lo")
     )
     # At most two ranks per probability, so this broadcast has a fixed bound.
-    wanted = F.broadcast(ranks.select("bucket").distinct())
-    inside = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = (
-        values.join(wanted, "bucket")
-        .groupBy("bucket", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("v_hi", F.sum("n").over(inside))
-        .withColumn("v_lo", F.col("v_hi") - F.col("n"))
-    )
     return (
-        counted.join(F.broadcast(ranks), "bucket")
-        .where((F.col("rank_in_bucket") >= F.col("v_lo")) & (F.col("rank_in_bucket") < F.col("v_hi")))
-        .groupBy("probability")
-        .agg(F.sum(F.col("weight") * F.col("v")).alias("quantile"))
+        values.join(F.broadcast(ranks), "bucket")
+        .groupBy("name", "rank", "weight", "lo", "v")
+        .agg(F.expr("count(1) AS n"))
+        .selectExpr("*", "lo + sum(n) OVER (PARTITION BY name, rank ORDER BY v) AS hi")
+        .where("rank < hi AND rank >= hi - n")
+        .agg(*[F.expr(f"sum(weight * v) FILTER (WHERE name = '{name}') AS {name}") for name in probabilities])
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.config import CHANNELS, RegressionConfig
-from spendlens.functions.columns import money_sum, ratio
+from spendlens.functions.columns import ratio
 
 TARGET = "daily_revenue"
 CONTROLS = ("day_of_week", "promo_flag")
@@ -23,16 +23,15 @@ def regression_table(channel_daily: DataFrame, key: str = "date") -> DataFrame:
 
     The channel pivot is a set of conditional sums inside the same aggregate, so nothing is joined back.
     """
-    spend = {
-        name: F.coalesce(money_sum(F.when(F.col("channel") == channel, F.col("spend"))), F.lit(0))
-        for name, channel in zip(CHANNEL_FEATURES, CHANNELS)
-    }
     return channel_daily.groupBy(key).agg(
-        money_sum("attributed_revenue").cast("double").alias(TARGET),
-        money_sum("spend").cast("double").alias("total_spend"),
+        F.expr(f"CAST(sum(attributed_revenue) AS DOUBLE) AS {TARGET}"),
+        F.expr("CAST(sum(spend) AS DOUBLE) AS total_spend"),
         F.max("day_of_week").alias("day_of_week"),
         F.max("promo_flag").alias("promo_flag"),
-        *[column.cast("double").alias(name) for name, column in spend.items()],
+        *[
+            F.expr(f"CAST(coalesce(sum(spend) FILTER (WHERE channel = '{channel}'), 0) AS DOUBLE) AS {name}")
+            for name, channel in zip(CHANNEL_FEATURES, CHANNELS)
+        ],
     )
 
 

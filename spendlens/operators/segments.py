@@ -139,8 +139,8 @@ def enrich_order_items(order_items: DataFrame, products: DataFrame) -> DataFrame
         order_items.join(priced, "product_id")
         .withColumns(
             {
-                "revenue": money(F.col("quantity") * F.col("unit_price")),
-                "cost": money(F.col("quantity") * F.col("unit_cost")),
+                "revenue": money("quantity * unit_price"),
+                "cost": money("quantity * unit_cost"),
             }
         )
         .withColumn("margin", F.col("revenue") - F.col("cost"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from spendlens import schemas
 from spendlens.config import BoundsScenario, BudgetConfig, ChannelBounds, ShareScenario
 from spendlens.functions.columns import parse
+from spendlens.functions.tables import LazyTables
 from spendlens.operators import attribution, budget, cleaning, facts, insights, kpis, regression, segments, trends
 from spendlens.operators.joins import left_lookup
 from spendlens.plans.analysis import Analysis
@@ -74,10 +75,15 @@ class Inputs:
         return cleaning.clean_ad_spend(self.raw["ad_spend"])
 
     @cached_property
-    def tables(self) -> dict[str, DataFrame]:
-        campaigns = cleaning.normalize_channel(self.raw["campaigns"])
-        cleaned = {"sessions": self.sessions, "orders": self.orders, "ad_spend": self.ad_spend}
-        return {**self.raw, **cleaned, "campaigns": campaigns}
+    def tables(self) -> LazyTables:
+        raw = {name: lambda name=name: self.raw[name] for name in star.READERS}
+        cleaned = {
+            "sessions": lambda: self.sessions,
+            "orders": lambda: self.orders,
+            "ad_spend": lambda: self.ad_spend,
+            "campaigns": lambda: cleaning.normalize_channel(self.raw["campaigns"]),
+        }
+        return LazyTables({**raw, **cleaned})
 
     @cached_property
     def fact_sessions(self) -> DataFrame:
@@ -130,23 +136,39 @@ class Inputs:
         return budget.allocate_by_bounds(weights, BOUNDS_SCENARIOS)
 
 
-def presented(df: DataFrame, digits: int = 4) -> DataFrame:
+# Ratios are compared to ten digits: with fewer, quotients such as cents / 32 end exactly halfway and engines round
+# them differently. Amounts far above a million are compared to the cent or the unit, within double precision.
+RATIOS = {
+    "cpc", "ctr", "cvr", "roas", "cac_proxy", "CPC", "CTR", "CVR", "ROAS", "CAC", "daily_cvr", "daily_roas",
+    "weekly_cvr", "weekly_roas", "avg_roas", "avg_spend", "spend_per_session", "max_value", "min_value", "spread",
+    "attributed_ROAS", "simple_ROAS", "last_touch_ROAS", "roas_difference", "allocated_pct",
+}
+
+
+def presented(df: DataFrame, amount_digits: int = 4) -> DataFrame:
     """Amounts and ratios as rounded doubles, for comparison across engines."""
     fractions = (T.DoubleType, T.DecimalType)
-    columns = {
-        f.name: F.round(F.col(f.name).cast("double"), digits)
-        for f in df.schema.fields
-        if isinstance(f.dataType, fractions)
-    }
-    return df.withColumns(columns) if columns else df
+    return df.selectExpr(
+        *[
+            f"round(CAST({f.name} AS DOUBLE), {10 if f.name in RATIOS else amount_digits}) AS {f.name}"
+            if isinstance(f.dataType, fractions)
+            else f.name
+            for f in df.schema.fields
+        ]
+    )
 
 
-def query(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return presented(build(Inputs(spark, sf_dir)))
+def query(build: Callable[[Inputs], DataFrame] | None = None, *, amount_digits: int = 4):
+    """Register a query under its function name."""
 
-    QUERIES[build.__name__] = run
-    return build
+    def register(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return presented(build(Inputs(spark, sf_dir)), amount_digits)
+
+        QUERIES[build.__name__] = run
+        return build
+
+    return register(build) if build else register
 
 
 # --- Cleaning -------------------------------------------------------------------------------------------------------
@@ -412,25 +434,28 @@ def channel_metrics_all_margin(i: Inputs) -> DataFrame:
     return i.metrics(BudgetConfig(lookback_days=9, margin_window="all"))
 
 
-QUERIES["channel_metrics"] = lambda spark, sf_dir: presented(Inputs(spark, sf_dir).metrics())
+@query
+def channel_metrics_quarter(i: Inputs) -> DataFrame:
+    """The default lookback of 90 days."""
+    return i.metrics()
 
 
-@query
+@query(amount_digits=2)
 def allocate_share(i: Inputs) -> DataFrame:
     return i.share_allocation
 
 
-@query
+@query(amount_digits=2)
 def impact(i: Inputs) -> DataFrame:
     return budget.impact_estimates(i.share_allocation)
 
 
-@query
+@query(amount_digits=2)
 def impact_totals(i: Inputs) -> DataFrame:
     return budget.impact_totals(budget.impact_estimates(i.share_allocation))
 
 
-@query
+@query(amount_digits=2)
 def sensitivity(i: Inputs) -> DataFrame:
     return budget.sensitivity(i.share_allocation)
 
@@ -445,13 +470,13 @@ def allocation_totals(i: Inputs) -> DataFrame:
     return budget.allocation_totals(i.bounds_allocation)
 
 
-@query
+@query(amount_digits=0)
 def revenue_impact(i: Inputs) -> DataFrame:
     a = i.analysis
     return budget.revenue_impact(a.regression_table, a.fit, i.bounds_allocation)
 
 
-@query
+@query(amount_digits=0)
 def revenue_impact_full_history(i: Inputs) -> DataFrame:
     """The plan spread over all days of the history."""
     a = i.analysis
@@ -464,7 +489,7 @@ def revenue_impact_full_history(i: Inputs) -> DataFrame:
 
 @query
 def source_profile(i: Inputs) -> DataFrame:
-    inputs = {name: df.drop("ingest_seq", "campaign_no") for name, df in i.raw.items()}
+    inputs = {name: df.drop("ingest_seq", "campaign_no") for name, df in i.raw.all().items()}
     return profile(inputs).drop("data_type")
 
 

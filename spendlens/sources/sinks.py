@@ -33,7 +33,13 @@ def write_table(
         rows = rows.orderBy(*[F.asc_nulls_last(c) if isinstance(c, str) else c for c in sort_by])
     writer = rows.write.mode("overwrite").format(file_format)
     if file_format == "csv":
-        writer = writer.option("header", True).option("timestampNTZFormat", TIMESTAMP_PATTERN)
+        # Blanks around a text are data; the CSV writer would trim them.
+        writer = writer.options(
+            header=True,
+            timestampNTZFormat=TIMESTAMP_PATTERN,
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.functions.columns import money
+from spendlens.functions.tables import LazyTables
 
 CAMPAIGN_NUMBERS = 27  # nation keys 0-24 and two more from region
 
@@ -26,8 +25,6 @@ STAR_SCHEMAS = {
 }
 
 
-def _campaign_id(number: Column) -> Column:
-    return F.concat(F.lit("C"), F.lpad((number + 1).cast("string"), 3, "0"))
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,135 +32,127 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    regions = _read(spark, sf_dir, "region").where("r_regionkey < 2").select((F.col("r_regionkey") + 25).alias("k"))
-    spelling = F.array(*[F.lit(s) for s in ("Search", "PAID_SOCIAL", " email ", "Referral", "organic")])
-    return nations.union(regions).select(
-        _campaign_id(F.col("k")).alias("campaign_id"),
-        F.get(spelling, F.col("k") % 5).alias("channel"),
-        F.col("k").alias("campaign_no"),
+    nations = _read(spark, sf_dir, "nation").selectExpr("n_nationkey AS k")
+    regions = _read(spark, sf_dir, "region").where("r_regionkey < 2").selectExpr("r_regionkey + 25 AS k")
+    return nations.union(regions).selectExpr(
+        "'C' || lpad(k + 1, 3, '0') AS campaign_id",
+        "get(array('Search', 'PAID_SOCIAL', ' email ', 'Referral', 'organic'), k % 5) AS channel",
+        "k AS campaign_no",
     )
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
-
-
 def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = F.col("event_id")
-    slot = F.col("k") % 25
-    channel = (
-        F.when(event % 211 == 0, "unknown")
-        .when(slot % 5 == 0, F.get(F.array(F.lit("Search"), F.lit("SEARCH"), F.lit(" search ")), (event % 3).cast("int")))
-        .when(slot % 5 == 1, F.when(event % 2 == 0, "Paid_Social").otherwise("paid_social"))
-        .when(slot % 5 == 2, "EMAIL")
-        .when(slot % 5 == 3, "referral")
-        .otherwise("Organic")
-    )
-    # Every 50th session comes a second time, later and with another device.
-    copy = F.explode(F.when(event % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    late = F.col("copy") == 1
+    """Sessions from events; every 50th comes a second time, later and with another device."""
     return (
-        _events(spark, sf_dir)
-        .withColumn("copy", copy)
-        .select(
-            event.alias("session_id"),
-            F.when(event % 10 != 3, F.col("user_id")).alias("user_id"),
-            F.col("ts").alias("session_ts"),
-            F.when(late, "dup").when(event % 3 == 0, "web").otherwise("mobile").alias("device"),
-            channel.alias("channel"),
-            F.when(event % 101 != 0, _campaign_id(slot)).alias("campaign_id"),
-            (event + F.when(late, 1_000_000_000).otherwise(0)).alias("ingest_seq"),
+        _read(spark, sf_dir, "events")
+        .selectExpr(
+            "event_id AS session_id",
+            "user_id",
+            "ts",
+            "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 25 AS slot",
+            "explode(IF(event_id % 50 = 0, array(false, true), array(false))) AS late",
+        )
+        .selectExpr(
+            "session_id",
+            "IF(session_id % 10 = 3, NULL, user_id) AS user_id",
+            "ts AS session_ts",
+            "CASE WHEN late THEN 'dup' WHEN session_id % 3 = 0 THEN 'web' ELSE 'mobile' END AS device",
+            """CASE WHEN session_id % 211 = 0 THEN 'unknown'
+                    WHEN slot % 5 = 0 THEN get(array('Search', 'SEARCH', ' search '), CAST(session_id % 3 AS INT))
+                    WHEN slot % 5 = 1 THEN IF(session_id % 2 = 0, 'Paid_Social', 'paid_social')
+                    ELSE get(array('EMAIL', 'referral', 'Organic'), slot % 5 - 2) END AS channel""",
+            "IF(session_id % 101 = 0, NULL, 'C' || lpad(slot + 1, 3, '0')) AS campaign_id",
+            "session_id + IF(late, 1000000000, 0) AS ingest_seq",
         )
     )
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event, value = F.col("event_id"), F.col("value")
-    discount = F.when(event % 4 == 0, 5.0).otherwise(0.0)
-    # Some sessions have a second order, some orders come a second time.
-    variants = F.array_compact(F.array(F.lit(0), F.when(event % 97 == 0, 1), F.when(event % 40 == 0, 2)))
-    second, late = F.col("variant") == 1, F.col("variant") == 2
+    """Orders from purchase events; some sessions have a second order, some orders come a second time."""
     return (
-        _events(spark, sf_dir)
+        _read(spark, sf_dir, "events")
         .where("event_type = 'purchase'")
-        .withColumn("variant", F.explode(variants))
-        .select(
-            (event + F.when(second, 1_000_000).otherwise(0)).alias("order_id"),
-            event.alias("session_id"),
+        .selectExpr(
+            "event_id",
+            "user_id",
+            "ts",
+            "value",
+            "IF(event_id % 4 = 0, 5.0D, 0.0D) AS discount",
+            "explode(array_compact(array(0, IF(event_id % 97 = 0, 1, NULL), IF(event_id % 40 = 0, 2, NULL)))) AS copy",
+        )
+        .selectExpr(
+            "event_id + IF(copy = 1, 1000000, 0) AS order_id",
+            "event_id AS session_id",
             "user_id",
-            (F.col("ts") + F.expr("INTERVAL 5 MINUTE")).alias("order_ts"),
-            money(value + discount).alias("gross_amount"),
-            money(discount).alias("discount_amount"),
-            F.when(event % 307 != 0, money(value)).alias("net_amount"),
-            (event + F.when(second, 1_000_000).when(late, 1_000_000_000).otherwise(0)).alias("ingest_seq"),
+            "ts + INTERVAL 5 MINUTE AS order_ts",
+            "CAST(value + discount AS DECIMAL(18,4)) AS gross_amount",
+            "CAST(discount AS DECIMAL(18,4)) AS discount_amount",
+            "CAST(IF(event_id % 307 = 0, NULL, value) AS DECIMAL(18,4)) AS net_amount",
+            "event_id + CASE copy WHEN 1 THEN 1000000 WHEN 2 THEN 1000000000 ELSE 0 END AS ingest_seq",
         )
     )
 
 
 def raw_ad_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dd, no = F.col("dd"), F.col("campaign_no")
-    spend = (20 + (dd * 7 + no * 11) % 50).cast("double")
-    days = _read(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).distinct()
-    grid = (
-        days.select(
+    """Ad spend per day of the events and campaign; some rows come a second time with another spend."""
+    days = _read(spark, sf_dir, "events").selectExpr("CAST(ts AS DATE) AS date").distinct()
+    numbered = days.selectExpr("date", "day(date) AS dd", f"explode(sequence(0, {CAMPAIGN_NUMBERS - 1})) AS campaign_no")
+    return (
+        numbered.where("(dd + campaign_no) % 17 <> 0")
+        .join(raw_campaigns(spark, sf_dir), "campaign_no")
+        .selectExpr(
+            "*",
+            "dd + campaign_no AS mix",
+            "dd * 1000 + campaign_no AS seq",
+            "explode(IF((dd * 1000 + campaign_no) % 23 = 0, array(false, true), array(false))) AS late",
+        )
+        .selectExpr(
             "date",
-            F.day("date").alias("dd"),
-            F.explode(F.sequence(F.lit(0), F.lit(CAMPAIGN_NUMBERS - 1))).alias("campaign_no"),
+            "campaign_id",
+            "channel",
+            """CAST(CASE WHEN late THEN 999 WHEN mix % 13 = 0 THEN NULL
+                         ELSE 20 + (dd * 7 + campaign_no * 11) % 50 END AS DECIMAL(18,4)) AS spend""",
+            "CAST(IF(mix % 11 = 0, NULL, 1000 + (dd * 13 + campaign_no * 17) % 500) AS BIGINT) AS impressions",
+            "CAST(IF(mix % 19 = 0, 0, 10 + (dd + campaign_no * 3) % 40) AS BIGINT) AS clicks",
+            "IF(dd % 7 = 0 AND campaign_no % 5 < 3, 1, 0) AS promo_flag",
+            "CAST(seq + IF(late, 1000000, 0) AS BIGINT) AS ingest_seq",
         )
-        .join(raw_campaigns(spark, sf_dir), "campaign_no")
-        .where((dd + no) % 17 != 0)
-    )
-    rows = grid.select(
-        "date",
-        "campaign_id",
-        "channel",
-        money(F.when((dd + no) % 13 != 0, spend)).alias("spend"),
-        F.when((dd + no) % 11 != 0, (1000 + (dd * 13 + no * 17) % 500).cast("bigint")).alias("impressions"),
-        F.when((dd + no) % 19 == 0, F.lit(0)).otherwise(10 + (dd + no * 3) % 40).cast("bigint").alias("clicks"),
-        F.when((dd % 7 == 0) & (no % 5 < 3), 1).otherwise(0).alias("promo_flag"),
-        (dd * 1000 + no).cast("bigint").alias("ingest_seq"),
     )
-    copies = rows.where("ingest_seq % 23 = 0").withColumns(
-        {"spend": money(F.lit(999.0)), "ingest_seq": F.col("ingest_seq") + 1_000_000}
-    )
-    return rows.unionByName(copies)
 
 
 def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return _read(spark, sf_dir, "customer").select(
-        key.alias("user_id"),
-        F.date_add(F.lit("2024-01-01").cast("date"), (key % 30).cast("int")).alias("signup_date"),
-        F.when(key % 41 != 0, F.col("c_nationkey") % 3 + 1).alias("city_tier"),
+    return _read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS user_id",
+        "DATE '2024-01-01' + CAST(c_custkey % 30 AS INT) AS signup_date",
+        "IF(c_custkey % 41 = 0, NULL, c_nationkey % 3 + 1) AS city_tier",
     )
 
 
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_type").alias("category"),
-        (F.col("p_retailprice") * 0.6).alias("cost"),
+    return _read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id", "p_type AS category", "p_retailprice * 0.6D AS cost"
     )
 
 
 def raw_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").alias("quantity"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+    return _read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS order_id",
+        "l_partkey AS product_id",
+        "l_quantity AS quantity",
+        "l_extendedprice / l_quantity AS unit_price",
     )
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    readers = {
-        "sessions": raw_sessions,
-        "orders": raw_orders,
-        "order_items": raw_order_items,
-        "ad_spend": raw_ad_spend,
-        "users": raw_users,
-        "campaigns": raw_campaigns,
-        "products": raw_products,
-    }
-    return {name: read(spark, sf_dir) for name, read in readers.items()}
+READERS = {
+    "sessions": raw_sessions,
+    "orders": raw_orders,
+    "order_items": raw_order_items,
+    "ad_spend": raw_ad_spend,
+    "users": raw_users,
+    "campaigns": raw_campaigns,
+    "products": raw_products,
+}
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
+    return LazyTables({name: lambda read=read: read(spark, sf_dir) for name, read in READERS.items()})
