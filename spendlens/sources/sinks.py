@@ -23,14 +23,16 @@ def write_table(
     With ``partition_by`` rows are first rebalanced on those columns, which keeps files few and splits an oversized
     partition. ``sort_by`` (names ascending with NULLs last, or sort columns) sorts inside files then, or the whole output otherwise (a report).
     """
-    written = Observation()
-    rows = df.observe(written, F.count(F.lit(1)).alias("rows"))
+    rows = df
     if partition_by:
         rows = rows.hint("rebalance", *partition_by)
         if sort_by:
             rows = rows.sortWithinPartitions(*partition_by, *sort_by)
     elif sort_by:
         rows = rows.orderBy(*[F.asc_nulls_last(c) if isinstance(c, str) else c for c in sort_by])
+    # Observed last: a global sort runs its input once more to sample the ranges, which would count rows twice.
+    written = Observation()
+    rows = rows.observe(written, F.count(F.lit(1)).alias("rows"))
     writer = rows.write.mode("overwrite").format(file_format)
     if file_format == "csv":
         # Blanks around a text are data; the CSV writer would trim them.
