@@ -90,64 +90,53 @@ def allocate_by_share(
     """Minimum share to every channel, the rest by ROAS x headroom up to the maximum share, overflow shared again.
 
     Each round fills at least one channel or spends the rest, so as many rounds as channels are enough; they are
-    unrolled over the (scenario, channel) rows. When the maxima cannot hold the budget the remainder is reported as
-    ``unallocated``; ``rescale`` spreads it over the caps instead.
+    unrolled over the (scenario, channel) rows, which stay in one partitioning throughout. When the maxima cannot hold
+    the budget the remainder is reported as ``unallocated``; ``rescale`` spreads it over the caps instead.
     """
-    rows = [vars(s) for s in scenarios]
-    everyone = Window.partitionBy("scenario_id")
+    everyone = "OVER (PARTITION BY scenario_id)"
+    kept = ["scenario_id", "channel", "budget_total", "roas", "margin_per_dollar", "weight", "floor_spend", "cap_spend", "n"]
     state = (
-        metrics.withColumn("s", F.explode(struct_rows(rows)))
-        .select("*", "s.*")
-        .drop("s")
-        .withColumns({"n": F.count(F.lit(1)).over(everyone), "weight": F.coalesce("roas", F.lit(0.0))})
-        .withColumns(
-            {
-                "floor_spend": F.least(F.col("budget_total") * F.col("min_pct"), F.col("budget_total") / F.col("n")),
-                "cap_spend": F.col("budget_total") * F.col("max_pct"),
-                "weight_sum": F.sum("weight").over(everyone),
-            }
+        metrics.select(
+            "channel", "roas", "margin_per_dollar", F.explode(struct_rows([vars(s) for s in scenarios])).alias("s")
         )
-        .withColumns(
-            {
-                "allocated": F.col("floor_spend"),
-                "left_over": F.col("budget_total") - F.col("n") * F.col("floor_spend"),
-            }
+        .selectExpr("*", "s.*", "coalesce(roas, 0D) AS weight", "count(1) OVER (PARTITION BY s.scenario_id) AS n")
+        .selectExpr(
+            *[c for c in kept if not c.endswith("_spend")],
+            "least(budget_total * min_pct, budget_total / n) AS floor_spend",
+            "budget_total * max_pct AS cap_spend",
         )
+        .selectExpr("*", "floor_spend AS allocated")
     )
-    pull = F.col("weight") * F.col("room")
     for _ in CHANNELS:
         state = (
-            state.withColumn("room", F.greatest(F.lit(0.0), F.col("cap_spend") - F.col("allocated")))
-            .withColumn("pull_sum", F.sum(pull).over(everyone))
-            .withColumn(
-                "add",
-                F.when(
-                    (F.col("left_over") > TOLERANCE) & (F.col("pull_sum") > 0),
-                    F.least(F.col("left_over") * pull / F.col("pull_sum"), F.col("room")),
-                ).otherwise(F.lit(0.0)),
+            state.selectExpr("*", "greatest(0D, cap_spend - allocated) AS room")
+            .selectExpr(
+                "*",
+                f"sum(weight * room) {everyone} AS pull_sum",
+                f"budget_total - sum(allocated) {everyone} AS left_over",
             )
-            .withColumns(
-                {
-                    "allocated": F.col("allocated") + F.col("add"),
-                    "left_over": F.col("left_over") - F.sum("add").over(everyone),
-                }
+            .selectExpr(
+                *kept,
+                f"""allocated + CASE WHEN left_over > {TOLERANCE}D AND pull_sum > 0
+                    THEN least(left_over * weight * room / pull_sum, room) ELSE 0D END AS allocated""",
             )
         )
-    by_weight = F.least(F.greatest("allocated", "floor_spend"), F.col("cap_spend"))
-    equal = F.col("budget_total") / F.col("n")
-    result = state.withColumn("allocated_spend", F.when(F.col("weight_sum") > 0, by_weight).otherwise(equal))
-    allotted = F.sum("allocated_spend").over(everyone)
-    if rescale:
-        result = result.withColumn("allocated_spend", F.col("allocated_spend") / allotted * F.col("budget_total"))
-    return result.withColumns(
-        {
-            "allocated_pct": F.col("allocated_spend") / F.col("budget_total"),
-            "unallocated": F.col("budget_total") - allotted,
-        }
-    ).select(
-        "scenario_id", "channel", "budget_total", "allocated_spend", "allocated_pct", "unallocated",
-        "roas", "margin_per_dollar",
-    )
+    plan = state.selectExpr("*", f"sum(weight) {everyone} AS weight_sum").selectExpr(
+        *kept,
+        "CASE WHEN weight_sum > 0 THEN least(greatest(allocated, floor_spend), cap_spend) ELSE budget_total / n END AS plan",
+    )
+    allotted = f"sum(plan) {everyone}"
+    spend = f"plan / {allotted} * budget_total" if rescale else "plan"
+    return plan.selectExpr(
+        "scenario_id",
+        "channel",
+        "budget_total",
+        f"{spend} AS allocated_spend",
+        f"{spend} / budget_total AS allocated_pct",
+        f"budget_total - {allotted} AS unallocated",
+        "roas",
+        "margin_per_dollar",
+    )
 
 
 def impact_estimates(allocation: DataFrame, config: BudgetConfig = BudgetConfig()) -> DataFrame:

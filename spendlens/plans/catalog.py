@@ -125,7 +125,7 @@ class Inputs:
 
     @cached_property
     def share_allocation(self) -> DataFrame:
-        return budget.allocate_by_share(self.metrics(), SHARE_SCENARIOS)
+        return budget.allocate_by_share(materialize(self.metrics(), "metrics"), SHARE_SCENARIOS)
 
     @cached_property
     def bounds_allocation(self) -> DataFrame:
