@@ -49,8 +49,11 @@ def attach_orders(sessions: DataFrame, orders: DataFrame, piece_size: int = ORDE
     return calm.unionByName(busy)
 
 
-def build_fact_sessions(tables: dict[str, DataFrame]) -> DataFrame:
-    """Session x order with last-touch channel and campaign, and whether the user signed up that day."""
+def build_fact_sessions(tables: dict[str, DataFrame], user_columns: tuple[str, ...] = ()) -> DataFrame:
+    """Session x order with last-touch channel and campaign, and whether the user signed up that day.
+
+    ``user_columns`` are carried along from the users, which saves a second join of sessions and users later.
+    """
     sessions = tables["sessions"].select("session_id", "user_id", "session_ts", "device", "channel", "campaign_id")
     orders = tables["orders"].select(*ORDER_COLUMNS)
     rows = attach_orders(sessions, orders).withColumns(
@@ -62,11 +65,11 @@ def build_fact_sessions(tables: dict[str, DataFrame]) -> DataFrame:
             **{c: F.coalesce(F.col(c), F.lit(0).cast("decimal(18,4)")) for c in AMOUNTS},
         }
     )
-    signups = tables["users"].select("user_id", "signup_date")
+    signups = tables["users"].select("user_id", "signup_date", *user_columns)
     return (
         left_lookup(rows, signups, ["user_id"], spread_by=["session_id"])
         .withColumn("is_new_user", F.coalesce(F.col("session_date") == F.col("signup_date"), F.lit(False)))
-        .select(*FACT_SESSIONS.fieldNames())
+        .select(*FACT_SESSIONS.fieldNames(), *user_columns)
     )
 
 

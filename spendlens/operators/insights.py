@@ -111,8 +111,7 @@ def inefficiencies(wasted: DataFrame, channel_device: DataFrame) -> DataFrame:
 
 def inefficiency_lines(table: DataFrame) -> DataFrame:
     """One line per reason and experiment, numbered from 0."""
-    parts = [
-        table.select("area_no", "area", "description", F.lit(kind).alias("kind"), F.posexplode(column))
-        for kind, column in (("reason", "reasons"), ("experiment", "experiments"))
-    ]
-    return parts[0].unionByName(parts[1]).withColumnsRenamed({"pos": "line_no", "col": "line"})
+    kinds = "array(struct('reason' AS kind, reasons AS lines), struct('experiment' AS kind, experiments AS lines))"
+    return table.selectExpr("area_no", "area", "description", f"inline({kinds})").selectExpr(
+        "area_no", "area", "description", "kind", "posexplode(lines) AS (line_no, line)"
+    )

@@ -39,6 +39,9 @@ def sessions_with_spend(fact_sessions: DataFrame, ad_spend: DataFrame) -> DataFr
 
 
 def with_city_tier(fact_sessions: DataFrame, users: DataFrame) -> DataFrame:
+    """The user's city tier per session row, unless the rows carry it already."""
+    if "city_tier" in fact_sessions.columns:
+        return fact_sessions
     return left_lookup(fact_sessions, users.select("user_id", "city_tier"), ["user_id"], spread_by=["session_id"])
 
 
@@ -62,21 +65,16 @@ def segment_cells(
             money_sum(revenue_column).alias("revenue"),
         )
     )
-    # One window partition is the cells of one campaign-day and channel: attribute combinations, not sessions.
-    # Cells without campaign or channel get no spend, so they skip the window and the join.
-    missing = F.col("campaign_id").isNull() | F.col("channel").isNull()
-    unpaid = cells.where(missing).withColumn("spend", F.lit(0.0))
-    group_sessions = F.sum("sessions").over(Window.partitionBy(*SPEND_KEY))
-    paid = (
-        cells.where(~missing)
-        .withColumn("group_sessions", group_sessions)
+    # One window partition holds the cells of one campaign-day and channel: attribute combinations, not sessions. That
+    # is as true of cells without campaign or channel, which match no ad spend and get none.
+    return (
+        cells.withColumn("group_sessions", F.sum("sessions").over(Window.partitionBy(*SPEND_KEY)))
         .join(ad_spend.select(*SPEND_KEY, F.col("spend").alias("group_spend")), list(SPEND_KEY), "left")
         .withColumn(
             "spend", F.coalesce(F.col("sessions") * ratio("group_spend", "group_sessions"), F.lit(0.0))
         )
         .drop("group_sessions", "group_spend")
     )
-    return paid.unionByName(unpaid)
 
 
 def _segment(cells: DataFrame, keys: list[str], prefix: str) -> DataFrame:

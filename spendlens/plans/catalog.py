@@ -107,6 +107,12 @@ class Inputs:
         """For tables that read the session fact once."""
         return Analysis(self.fact_sessions, self.ad_spend, self.raw["users"])
 
+    @cached_property
+    def tier_analysis(self) -> Analysis:
+        """For segment tables that also need the user's city tier."""
+        sessions = facts.build_fact_sessions(self.tables, ("city_tier",))
+        return Analysis(sessions, self.ad_spend, self.raw["users"])
+
     @cached_property
     def stored_analysis(self) -> Analysis:
         """For tables that read the session fact more than once."""
@@ -338,7 +344,7 @@ def seg_new_user(i: Inputs) -> DataFrame:
 
 @query
 def seg_city_tier(i: Inputs) -> DataFrame:
-    return segments.segment_city_tier(i.analysis.cells(["city_tier"]))
+    return segments.segment_city_tier(i.tier_analysis.cells(["city_tier"]))
 
 
 @query
@@ -348,19 +354,19 @@ def category_performance(i: Inputs) -> DataFrame:
 
 @query
 def segment_spreads(i: Inputs) -> DataFrame:
-    return i.analysis.spreads.select("metric", "segment_kind", "segment", "max_value", "min_value", "spread")
+    return i.tier_analysis.spreads.select("metric", "segment_kind", "segment", "max_value", "min_value", "spread")
 
 
 @query
 def top_segments(i: Inputs) -> DataFrame:
-    return insights.top_segments(i.analysis.spreads).select(
+    return insights.top_segments(i.tier_analysis.spreads).select(
         "metric", "rank", "segment_kind", "segment", "spread", "best_member", "worst_member"
     )
 
 
 @query
 def segment_findings(i: Inputs) -> DataFrame:
-    return insights.segment_findings(insights.top_segments(i.analysis.spreads))
+    return insights.segment_findings(insights.top_segments(i.tier_analysis.spreads))
 
 
 @query
