@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.columns import money_sum, whole_sum
 from spendlens.functions.kpis import with_kpis
-from spendlens.operators.joins import left_lookup
+from spendlens.operators.joins import left_lookup, unique_lookup
 from spendlens.schemas import FACT_CAMPAIGN_DAILY, FACT_CHANNEL_DAILY, FACT_SESSIONS
 from spendlens.session import materialize
 
@@ -65,7 +65,7 @@ def build_fact_sessions(tables: dict[str, DataFrame], user_columns: tuple[str, .
             **{c: F.coalesce(F.col(c), F.lit(0).cast("decimal(18,4)")) for c in AMOUNTS},
         }
     )
-    signups = tables["users"].select("user_id", "signup_date", *user_columns)
+    signups = unique_lookup(tables["users"], ["user_id"], ["signup_date", *user_columns])
     return (
         left_lookup(rows, signups, ["user_id"], spread_by=["session_id"])
         .withColumn("is_new_user", F.coalesce(F.col("session_date") == F.col("signup_date"), F.lit(False)))

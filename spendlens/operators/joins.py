@@ -1,4 +1,4 @@
-"""Left join to a lookup table without piling missing keys onto one task."""
+"""Left joins to lookup tables: unique keys, and missing keys spread over the cluster."""
 
 from __future__ import annotations
 
@@ -12,6 +12,16 @@ SPREAD = 4096
 _SALT = "__spread"
 
 
+def unique_lookup(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per key, the lowest one if a key is repeated.
+
+    A repeated key would multiply the rows it is joined to. Grouping also lets the optimizer see that the key is
+    unique, so a left join whose columns nobody reads is dropped along with its shuffle.
+    """
+    lowest = df.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("lowest"))
+    return lowest.select(*keys, *[F.col(f"lowest.{c}").alias(c) for c in columns])
+
+
 def left_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
     """facts LEFT JOIN lookup USING (keys), where ``lookup`` is unique on the keys.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.columns import money, money_sum, ratio, whole_sum
 from spendlens.functions.kpis import with_kpis
-from spendlens.operators.joins import left_lookup
+from spendlens.operators.joins import left_lookup, unique_lookup
 
 SPEND_KEY = ("date", "campaign_id", "channel")
 
@@ -42,7 +42,8 @@ def with_city_tier(fact_sessions: DataFrame, users: DataFrame) -> DataFrame:
     """The user's city tier per session row, unless the rows carry it already."""
     if "city_tier" in fact_sessions.columns:
         return fact_sessions
-    return left_lookup(fact_sessions, users.select("user_id", "city_tier"), ["user_id"], spread_by=["session_id"])
+    tiers = unique_lookup(users, ["user_id"], ["city_tier"])
+    return left_lookup(fact_sessions, tiers, ["user_id"], spread_by=["session_id"])
 
 
 def segment_cells(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendlens.operators import facts, kpis, segments
-from spendlens.operators.joins import left_lookup
+from spendlens.operators.joins import left_lookup, unique_lookup
 from spendlens.session import materialize
 
 D = dt.date
@@ -151,3 +151,40 @@ def test_empty_inputs_give_empty_results(tables):
     assert sessions.count() == 0
     assert facts.build_fact_campaign_daily(none, sessions).count() == 0
     assert kpis.channel_roas(kpis.channel_daily(kpis.campaign_daily(sessions, none["ad_spend"]), none["ad_spend"])).count() == 0
+
+
+def test_unread_user_columns_cost_no_join(tables):
+    plan = kpis.campaign_daily(facts.build_fact_sessions(tables), tables["ad_spend"])._jdf.queryExecution()
+    assert "signup_date" not in plan.optimizedPlan().toString()
+
+
+def test_hot_user_is_split_by_adaptive_execution(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    left = spark.range(0, 200_000, numPartitions=8).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS user_id"
+    )
+    right = unique_lookup(spark.range(50_000).selectExpr("id AS user_id", "id % 3 AS city_tier"), ["user_id"], ["city_tier"])
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = left_lookup(left, right, ["user_id"], spread_by=["id"])
+        rows = joined.selectExpr("count(1) AS n", "count(city_tier) AS known")
+        result = joined.collect()
+        final = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert "SortMergeJoin(skew=true)" in final
+    assert len(result) == 200_000
+    assert sum(r.city_tier is not None for r in result) == rows.first().known
+
+
+def test_repeated_lookup_keys_do_not_multiply_rows(spark):
+    users = spark.createDataFrame([(1, D(2024, 1, 5), 2), (1, D(2024, 1, 1), 3)], "user_id int, signup_date date, city_tier int")
+    row = unique_lookup(users, ["user_id"], ["signup_date", "city_tier"]).collect()
+    assert [(r.signup_date, r.city_tier) for r in row] == [(D(2024, 1, 1), 3)]
