@@ -78,6 +78,7 @@ class JobConfig:
     base_path: str
     output_path: str
     file_format: str = "parquet"
+    write_dq_report: bool = True
     revenue_column: str = "gross_amount"
     cleaning: CleaningConfig = field(default_factory=CleaningConfig)
     budget: BudgetConfig = field(default_factory=BudgetConfig)

@@ -17,7 +17,7 @@ from spendlens.functions.tables import LazyTables
 from spendlens.operators import attribution, budget, cleaning, facts, insights, kpis, regression, segments, trends
 from spendlens.operators.joins import left_lookup
 from spendlens.plans.analysis import Analysis
-from spendlens.plans.budget import channel_metrics
+from spendlens.plans.budget import channel_metrics as metrics_of
 from spendlens.plans.etl import Facts
 from spendlens.session import materialize, scratch_path
 from spendlens.sources import star
@@ -127,7 +127,7 @@ class Inputs:
         return Facts(self.stored_sessions, campaigns, channels)
 
     def metrics(self, config: BudgetConfig = BudgetConfig()) -> DataFrame:
-        return channel_metrics(self.stored_facts, self.raw["order_items"], self.raw["products"], config)
+        return metrics_of(self.stored_facts, self.raw["order_items"], self.raw["products"], config)
 
     @cached_property
     def share_allocation(self) -> DataFrame:
@@ -441,7 +441,7 @@ def channel_metrics_all_margin(i: Inputs) -> DataFrame:
 
 
 @query
-def channel_metrics_quarter(i: Inputs) -> DataFrame:
+def channel_metrics(i: Inputs) -> DataFrame:
     """The default lookback of 90 days."""
     return i.metrics()
 
