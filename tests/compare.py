@@ -70,10 +70,9 @@ def main() -> None:
     wanted = sys.argv[2:]
     spark, connection = local_session(), duck(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert queries.keys() == oracles.keys(), queries.keys() ^ oracles.keys()
     failed = []
     for name, build in queries.items():
-        if wanted and name not in wanted:
+        if name not in (wanted or oracles):
             continue
         start = time.time()
         try:
