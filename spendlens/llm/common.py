@@ -48,3 +48,9 @@ def text_key(text: Column) -> list[Column]:
 
 
 KEY = ["_k1", "_k2"]
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold what one batch sends to a Python worker to 16 MB (or one row), however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
