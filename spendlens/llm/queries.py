@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import bpe, decontaminate, line_dedup, quality_rules, sharding, simhash, toxicity
+from spendlens.llm import bloom_lm, bpe, decontaminate, line_dedup, quality_rules, sharding, simhash, toxicity
 from spendlens.llm.common import read_table
 
 
@@ -31,6 +31,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    away = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    model, words = bloom_lm.train(docs.where(~away))
+    return bloom_lm.score(docs.withColumn("held_out", away), model, words)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.mark_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
@@ -81,6 +88,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
+    "op3_bloom_lm": op3_bloom_lm,
     "op4_decontamination": op4_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
