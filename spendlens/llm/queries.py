@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import bloom_lm, bpe, decontaminate, line_dedup, quality_rules, sharding, simhash, toxicity
+from spendlens.llm import bloom_lm, bpe, decontaminate, line_dedup, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, toxicity
 from spendlens.llm.common import read_table
 
 
@@ -51,6 +51,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.repeated_passages(docs)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn_rules(docs, read_table(spark, sf_dir, "labels"))
@@ -78,6 +83,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_shared_lines(docs).select(
@@ -90,9 +102,11 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_bloom_lm": op3_bloom_lm,
     "op4_decontamination": op4_decontamination,
+    "op5_suffix_arrays": op5_suffix_arrays,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_automata": op9_suffix_automata,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -128,6 +142,30 @@ ORACLES = {
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
     """,
+    "op9_suffix_automata": """
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+                                       lambda w: w <> '') AS words FROM documents
+        ), w AS (
+            SELECT doc_id, i, array_to_string(list_slice(words, i, i + 34), ' ') AS win
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)
+        ), again AS (SELECT win FROM w GROUP BY win HAVING count(*) > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + 35)) AS k FROM w JOIN again USING (win))
+        ), each AS (
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM d
+        ), marked AS (
+            SELECT each.doc_id, each.k, word, gone.k IS NOT NULL AS gone
+            FROM each LEFT JOIN gone ON each.doc_id = gone.doc_id AND each.k = gone.k
+        ), kept AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+                   string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS kept
+            FROM marked GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+    """,
     "op10_line_dedup": """
         WITH l AS (
             SELECT doc_id, line, pos,

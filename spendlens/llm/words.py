@@ -27,8 +27,8 @@ def spread(n: int, seed: int = 0) -> np.ndarray:
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_FACTOR = 0xD1342543DE82EF95  # odd, so that it has an inverse
-_INVERSE = pow(_FACTOR, -1, 1 << 64)
+FACTOR = 0xD1342543DE82EF95  # odd, so that it has an inverse
+INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -48,7 +48,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _table(base: int, n: int) -> np.ndarray:
+def power_table(base: int, n: int) -> np.ndarray:
     return powers(base, max(CHUNK, 1 << max(n - 1, 1).bit_length()))
 
 
@@ -90,9 +90,9 @@ class Words:
             upto = max(at + 1, int(np.searchsorted(self.last, self.first[at] + CHUNK, "right")))
             low, high = int(self.first[at]), int(self.last[upto - 1])
             sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(values[data[low:high]] * _table(_FACTOR, high - low)[: high - low], out=sums[1:])
+            np.cumsum(values[data[low:high]] * power_table(FACTOR, high - low)[: high - low], out=sums[1:])
             a, b = self.first[at:upto] - low, self.last[at:upto] - low
-            self.hashes[at:upto] = mix((sums[b] - sums[a]) * _table(_INVERSE, high - low)[a])
+            self.hashes[at:upto] = mix((sums[b] - sums[a]) * power_table(INVERSE, high - low)[a])
             at = upto
 
 
@@ -102,8 +102,8 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     if n < width:
         return np.empty(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * _table(_FACTOR, n)[:n], out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * _table(_INVERSE, n)[: n - width + 1])
+    np.cumsum(hashes * power_table(FACTOR, n)[:n], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * power_table(INVERSE, n)[: n - width + 1])
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
