@@ -123,23 +123,35 @@ def _matches(rule: Rule, x: np.ndarray) -> np.ndarray:
     return held
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, conditions: list[Condition], most: int) -> Rule:
-    """Add the condition with the largest information gain until only bad rows match."""
+def _grow(x: np.ndarray, bad: np.ndarray, conditions: list[Condition], most: int, first: str) -> Rule:
+    """Add the condition with the largest information gain until only bad rows match, beginning with one on ``first``."""
     rule, inside = (), np.ones(len(x), bool)
     while len(rule) < most and (~bad[inside]).any() and bad[inside].any():
         p0, n0 = bad[inside].sum(), (~bad[inside]).sum()
         best, gain = None, 1e-9
         for condition in conditions:
+            if not rule and condition.feature != first:
+                continue
             held = inside & condition.holds(x)
             p, n = (held & bad).sum(), (held & ~bad).sum()
             if p and (value := p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))) > gain:
                 best, gain = condition, value
         if best is None:
             break
+        best = _centred(best, x[inside])
         rule, inside = (*rule, best), inside & best.holds(x)
     return rule
 
 
+def _centred(condition: Condition, x: np.ndarray) -> Condition:
+    """The same split of these rows, with the threshold in the middle of the gap it lies in."""
+    values = x[:, FEATURES.index(condition.feature)]
+    low, high = values[values <= condition.threshold], values[values > condition.threshold]
+    if not len(low) or not len(high):
+        return condition
+    return Condition(condition.feature, condition.above, float(low.max() + high.min()) / 2)
+
+
 def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
     """Cut conditions from the end while (bad - good) / all does not fall on rows that did not grow the rule."""
 
@@ -159,9 +171,9 @@ def learn(
 ) -> list[Rule]:
     """Ordered rules for bad rows. x: a column per name in FEATURES.
 
-    Each rule is grown on two thirds of the rows that no earlier rule took and pruned on the other third; learning ends
-    with the first rule that is right in less than ``precision`` of its rows or takes fewer than ``support`` bad ones.
-    One class, or no rows, give no rules. The order of the rows decides which third a row is in.
+    From each feature a rule is grown on two thirds of the rows that no earlier rule took, and pruned on the other third;
+    the one that takes most bad rows is added. Rules that are right in less than ``precision`` of their rows, or take
+    fewer than ``support`` bad ones, do not count; learning ends when none is left. One class, or no rows, give no rules. The order of the rows decides which third a row is in.
     """
     rules: list[Rule] = []
     conditions = []
@@ -172,12 +184,18 @@ def learn(
     part, left = np.arange(len(x)) % 3, np.ones(len(x), bool)
     while len(rules) < most_rules and (left & bad).sum() >= support:
         growing, pruning = left & (part < 2), left & (part == 2)
-        rule = _prune(_grow(x[growing], bad[growing], conditions, most_conditions), x[pruning], bad[pruning])
-        held = left & _matches(rule, x)
-        if not rule or (held & bad).sum() < max(support, precision * held.sum()):
+        best, taken = None, left
+        for first in FEATURES:
+            grown = _grow(x[growing], bad[growing], conditions, most_conditions, first)
+            for rule in (_prune(grown, x[pruning], bad[pruning]), grown) if grown else ():
+                held = left & _matches(rule, x)
+                right = (held & bad).sum()
+                if right >= max(support, precision * held.sum()) and (best is None or right > (taken & bad).sum()):
+                    best, taken = rule, held
+        if best is None:
             break
-        rules.append(rule)
-        left &= ~held
+        rules.append(best)
+        left &= ~taken
     return rules
 
 
