@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.common import bounded_batches, text_key
+from spendlens.llm.common import bounded_batches, packed, text_key, unpacked
 from spendlens.llm.words import Words, mix
 from spendlens.session import materialize
 
@@ -237,13 +237,12 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text") -
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     own = ("n_tokens", "n_known", "train_tokens", "base_score", "score", text)
-    rest = [c for c in docs.columns if c not in own]
     made = [
         T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
         T.StructField("_rare", T.ArrayType(T.LongType())),
     ]
-    ordered = docs.select(*rest, *text_key(F.col(text)), F.col(text).alias("_text"))
+    ordered = docs.select(packed(docs, *own), *text_key(F.col(text)), F.col(text).alias("_text"))
     schema = T.StructType([*ordered.schema.fields[:-1], *made])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +281,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text") -
         "rare",
     )  # each copy of a text brought the same rare words
     return scored.join(shares, ["_k1", "_k2"], "left").select(
-        *rest,
+        *unpacked(docs, *own),
         "n_tokens",
         (F.col("n_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),

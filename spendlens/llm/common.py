@@ -54,3 +54,16 @@ def bounded_batches(spark: SparkSession) -> None:
     """Hold what one batch sends to a Python worker to 4 MB (or one row), however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+
+
+def packed(docs: DataFrame, *without: str) -> Column:
+    """All columns but some as one struct: whatever their names, they clash with nothing an operator adds."""
+    names = [c for c in docs.columns if c not in without]
+    return F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("_row")
+
+
+def unpacked(docs: DataFrame, *without: str, **instead: Column) -> list[Column]:
+    """The packed columns in their order; ``instead`` has columns that were not packed but keep their place."""
+    return [
+        instead[c].alias(c) if c in instead else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in without
+    ]

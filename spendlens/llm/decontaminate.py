@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import KEY, ascii_lower, let, text_key
+from spendlens.llm.common import KEY, ascii_lower, let, packed, text_key, unpacked
 from spendlens.session import materialize
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # ASCII other than digits and lower-case letters
@@ -146,14 +146,13 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **o
     added = ("n_words", "n_hit", "items", "contaminated", "spans")
     hits = benchmark_hits(docs, items, text, **options)
     return (
-        docs.select(*[c for c in docs.columns if c not in added], *text_key(F.col(text)))
+        docs.select(packed(docs, *added), *text_key(F.col(text)))
         .join(hits, KEY, "left")
-        .withColumn("contaminated", F.col("n_hit") > 0)
-        .drop(*KEY)
+        .select(*unpacked(docs, *added), *added[:3], (F.col("n_hit") > 0).alias("contaminated"), "spans")
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """Documents that hold no window of the benchmark, with their own columns."""
     hits = benchmark_hits(docs, items, text, **options).where(F.col("n_hit") > 0).select(*KEY)
-    return docs.select("*", *text_key(F.col(text))).join(hits, KEY, "left_anti").drop(*KEY)
+    return docs.select(packed(docs), *text_key(F.col(text))).join(hits, KEY, "left_anti").select(*unpacked(docs))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import BLANKS, KEY, ascii_lower, let, text_key
+from spendlens.llm.common import BLANKS, KEY, ascii_lower, let, packed, text_key, unpacked
 from spendlens.session import materialize
 
 
@@ -71,16 +71,16 @@ def drop_shared_lines(docs: DataFrame, text: str = "text", min_chars: int = 1, m
         .groupBy(*KEY)
         .agg(F.sort_array(F.collect_set("_pos")).alias("_dropped"))
     )
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    lines = _lines(F.col(text))
-    kept = F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(
+    own = ("n_lines", "n_dropped")
+    lines = _lines(F.col("_text"))
+    kept = F.when(F.col("_dropped").isNull(), F.col("_text")).otherwise(
         F.concat_ws("\n", _without(lines, F.col("_dropped")))
     )
     return (
-        docs.select(*rest, *text_key(F.col(text)))
+        docs.select(packed(docs, *own, text), F.col(text).alias("_text"), *text_key(F.col(text)))
         .join(positions, KEY, "left")
         .select(
-            *[kept.alias(text) if c == text else F.col(c) for c in rest],
+            *unpacked(docs, *own, **{text: kept}),
             F.size(lines).cast("long").alias("n_lines"),
             F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         )

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import blank_words, let
+from spendlens.llm.common import blank_words, let, packed, unpacked
 
 #: Labelled rows the rules are learned from, taken in the order of a hash of the id. The sample bounds the learner only.
 TRAINING_ROWS = 20_000
@@ -78,13 +78,12 @@ def statistics(text: Column) -> Column:
 def with_statistics(docs: DataFrame, text: str) -> DataFrame:
     """Documents with a column for each of COUNTS and FEATURES (rates are 0 where there is nothing to divide by)."""
     s = "_stats"
-    rows = docs.select(
-        *[c for c in docs.columns if c not in {*COUNTS, *FEATURES}], statistics(F.col(text)).alias(s)
-    )
+    own = (*COUNTS, *FEATURES)
+    rows = docs.select(packed(docs, *own), statistics(F.col(text)).alias(s))
     words, chars = F.col(f"{s}.w.n_words"), F.greatest(F.col(f"{s}.w.word_chars"), F.lit(1))
     per_word = F.greatest(words, F.lit(1))
     return rows.select(
-        *[c for c in rows.columns if c != s],
+        *unpacked(docs, *own),
         words.alias("n_words"),
         F.col(f"{s}.w.word_chars").alias("word_chars"),
         F.col(f"{s}.n_symbols").alias("n_symbols"),
@@ -254,7 +253,5 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """Documents that neither the base limits nor a rule rejects, with their own columns."""
-    marked = docs.select("*", F.col(text).alias("_judged"))
-    return judge(marked.select(F.struct(*docs.columns).alias("_row"), "_judged"), rules, "_judged").where(
-        "kept"
-    ).select("_row.*")
+    marked = docs.select(packed(docs).alias("_kept_row"), F.col(text).alias("_judged"))
+    return judge(marked, rules, "_judged").where("kept").select(F.col("_kept_row").alias("_row")).select(*unpacked(docs))

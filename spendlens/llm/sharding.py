@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendlens.llm.common import packed, unpacked
 from spendlens.session import materialize
 
 
@@ -23,12 +24,13 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, order: str = "doc_id", t
     """
     own = ("size", "text_crc32", "shard", "slot", text)
     rows = docs.select(
-        *[c for c in docs.columns if c not in own],
+        packed(docs, *own),
+        F.col(order).alias("_order"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("_place"),
     )
-    keys = [F.col(order).asc_nulls_first(), F.col("size"), F.col("text_crc32"), F.col("_place")]
+    keys = [F.col("_order").asc_nulls_first(), F.col("size"), F.col("text_crc32"), F.col("_place")]
     dealt = materialize(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "dealt")
 
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
@@ -42,16 +44,16 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, order: str = "doc_id", t
     upto = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         dealt.withColumn("_upto", F.sum("size").over(upto))
-        .withColumn("_row", F.row_number().over(upto))
+        .withColumn("_nth", F.row_number().over(upto))
         .join(F.broadcast(starts), "_part")
         .withColumn("_twice_middle", 2 * (F.col("_bytes_before") + F.col("_upto")) - F.col("size"))
         .withColumn("shard", F.expr(f"_twice_middle * {n_shards}L div (2 * _total)").cast("int"))
-        .withColumn("_index", F.col("_rows_before") + F.col("_row") - 1)
+        .withColumn("_index", F.col("_rows_before") + F.col("_nth") - 1)
     )
     placed = materialize(placed, "placed")
     first = placed.groupBy("shard").agg(F.min("_index").alias("_first"))  # one row per shard
     return placed.join(F.broadcast(first), "shard").select(
-        *[c for c in docs.columns if c not in own],
+        *unpacked(docs, *own),
         "size",
         "text_crc32",
         "shard",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.common import bounded_batches, text_key
+from spendlens.llm.common import bounded_batches, packed, text_key, unpacked
 from spendlens.llm.components import components
 from spendlens.session import materialize
 
@@ -189,15 +189,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distan
     chosen = (
         groups(docs, doc_id, text, distance)
         .where(F.col("_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.coalesce("component_id", "_print").alias("_group"), F.col("component_id").isNull().alias("_nameless"))
+        .groupBy(F.coalesce(F.col("component_id").cast("string"), F.col("_print").cast("string")).alias("_group"), F.col("component_id").isNull().alias("_nameless"))
         .agg(F.min(F.struct("_id", "_k1", "_k2")).alias("_first"))
         .select("_first.*")
     )
-    keyed = docs.select("*", *text_key(F.col(text))).alias("d")
+    keyed = docs.select(packed(docs), F.col(doc_id).alias("_own"), *text_key(F.col(text))).alias("d")
     same = (
-        F.col(f"d.{doc_id}").eqNullSafe(F.col("_id"))
+        F.col("_own").eqNullSafe(F.col("_id"))
         & (F.col("d._k1") == F.col("c._k1"))
         & (F.col("d._k2") == F.col("c._k2"))
     )
     kept = keyed.join(chosen.alias("c"), same, "left_semi")
-    return kept.dropDuplicates([doc_id, "_k1", "_k2"]).drop("_k1", "_k2")
+    return kept.dropDuplicates(["_own", "_k1", "_k2"]).select(*unpacked(docs))

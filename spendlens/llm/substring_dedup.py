@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import KEY, blank_words, text_key
+from spendlens.llm.common import KEY, blank_words, packed, text_key, unpacked
 from spendlens.llm.repeats import outside, repeated_spans, spans_by_text
 
 
@@ -110,13 +110,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spans = spans_by_text(repeated_spans(docs, doc_id, text, width, by_automaton))
     own = ("n_words", "n_removed", "spans")
-    rest = [c for c in docs.columns if c not in own]
-    joined = docs.select(*rest, *text_key(F.col(text))).join(spans, KEY, "left")
+    rows = docs.select(packed(docs, *own, text), F.col(text).alias("_text"), *text_key(F.col(text)))
+    joined = rows.join(spans, KEY, "left")
     removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    words = blank_words(F.col(text))
+    words = blank_words(F.col("_text"))
     kept = F.when(F.col("spans").isNull(), words).otherwise(outside(words, F.col("spans")))
     return joined.select(
-        *[F.concat_ws(" ", kept).alias(text) if c == text else F.col(c) for c in rest],
+        *unpacked(docs, *own, **{text: F.concat_ws(" ", kept)}),
         F.size(words).cast("long").alias("n_words"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
         "spans",

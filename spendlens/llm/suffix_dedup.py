@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import KEY, text_key
+from spendlens.llm.common import KEY, packed, text_key, unpacked
 from spendlens.llm.repeats import repeated_spans
 
 
@@ -64,10 +64,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     spans = repeated_spans(docs, doc_id, text, least_words, by_suffixes)
     own = ("start_word", "end_word", "passage_words")
-    rows = docs.select(*[c for c in docs.columns if c not in (*own, text)], *text_key(F.col(text)))
-    return (
-        rows.join(spans, KEY)
-        .withColumn("passage_words", F.col("end") - F.col("start"))
-        .withColumnsRenamed({"start": "start_word", "end": "end_word"})
-        .drop(*KEY)
+    rows = docs.select(packed(docs, *own, text), *text_key(F.col(text)))
+    return rows.join(spans, KEY).select(
+        *unpacked(docs, *own, text),
+        F.col("start").alias("start_word"),
+        F.col("end").alias("end_word"),
+        (F.col("end") - F.col("start")).alias("passage_words"),
     )
