@@ -22,7 +22,7 @@ BITS, PROBES, BLOCKS = 1 << 28, 5, 64
 #: Words whose exact counts are broadcast (16 bytes each); the counts of rarer ones are joined.
 FREQUENT = 1 << 20
 #: n-grams a task gathers before it hands on their counts.
-_GATHER = 1 << 21
+_GATHER = 1 << 20
 #: The end of a text, and the context of its first word.
 END = _U(0x5851F42D4C957F2D)
 
@@ -46,7 +46,7 @@ def _sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words (order 1) and word pairs (order 2), summed over some millions of tokens at a time."""
+    """Counts of the words (order 1) and word pairs (order 2), summed over a million tokens at a time."""
 
     def flush(parts: list[np.ndarray], order: int) -> pa.RecordBatch:
         grams, counts = np.unique(np.concatenate(parts), return_counts=True)

@@ -51,8 +51,8 @@ KEY = ["_k1", "_k2"]
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold what one batch sends to a Python worker to 4 MB (or one row), however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Hold what one batch sends to a Python worker to 1 MB (or one row), however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
