@@ -7,7 +7,7 @@ SELECT 'C' || lpad(CAST(k + 1 AS STRING), 3, '0') AS campaign_id,
                   WHEN 3 THEN 'Referral' ELSE 'organic' END AS channel,
        k AS campaign_no
 FROM (SELECT n_nationkey AS k FROM nation
-      UNION ALL SELECT r_regionkey + 25 AS k FROM region WHERE r_regionkey < 2) c""",
+      UNION ALL SELECT r_regionkey + 25 AS k FROM region) c""",
     "base_events": """
 SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events""",
     "raw_sessions": """
@@ -40,7 +40,7 @@ WITH o AS (
   FROM base_events WHERE event_type = 'purchase')
 SELECT * FROM o
 UNION ALL
-SELECT order_id + 1000000 AS order_id, session_id, user_id, order_ts, gross_amount,
+SELECT -order_id - 1 AS order_id, session_id, user_id, order_ts, gross_amount,
        discount_amount, net_amount, ingest_seq + 1000000 AS ingest_seq FROM o WHERE order_id % 97 = 0
 UNION ALL
 SELECT order_id, session_id, user_id, order_ts, gross_amount, discount_amount, net_amount,

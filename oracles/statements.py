@@ -309,13 +309,38 @@ SELECT s.*, m.channel, m.roas, m.margin_per_dollar, n, CASE WHEN n * min_pct > 1
        ELSE budget_total * min_pct END AS alloc, budget_total * max_pct AS cap
 FROM share_scenarios s CROSS JOIN metrics_90 m CROSS JOIN (SELECT count(*) AS n FROM metrics_90) k""",
 }
-for _round in range(1, 7):
-    CTES[f"share_{_round}"] = f"""
+
+
+def share_rounds(prefix: str, channels: int) -> dict[str, str]:
+    """As many rounds as there are channels: each fills one at least, or spends the rest."""
+    return {
+        f"{prefix}_{k}": f"""
 SELECT * EXCLUDE (alloc, room, rest, pull), alloc + CASE WHEN rest > 1e-6 AND pull > 0
        THEN least(rest * roas * room / pull, room) ELSE 0 END AS alloc
 FROM (SELECT *, sum(roas * room) OVER (PARTITION BY scenario_id) AS pull
       FROM (SELECT *, greatest(0, cap - alloc) AS room,
-                   budget_total - sum(alloc) OVER (PARTITION BY scenario_id) AS rest FROM share_{_round - 1}) a) b"""
+                   budget_total - sum(alloc) OVER (PARTITION BY scenario_id) AS rest FROM {prefix}_{k - 1}) a) b"""
+        for k in range(1, channels + 1)
+    }
+
+
+CTES |= share_rounds("share", 6)
+CTES |= {
+    "many_0": f"""
+SELECT s.*, m.campaign_id AS channel, m.roas, 0.0e0 AS margin_per_dollar, n,
+       least(budget_total * min_pct, budget_total / n) AS alloc, budget_total * max_pct AS cap
+FROM (VALUES ('many', 1000000.0e0, 0.005e0, 0.04e0), ('loose', 1000000.0e0, 0.0e0, 0.1e0))
+     s(scenario_id, budget_total, min_pct, max_pct)
+CROSS JOIN (SELECT campaign_id, {div("sum(attributed_revenue)", "sum(spend)")} AS roas
+            FROM fcd GROUP BY campaign_id) m
+CROSS JOIN (SELECT count(DISTINCT campaign_id) AS n FROM fcd) k""",
+    **share_rounds("many", 30),
+    "many": """
+SELECT scenario_id, channel, budget_total, spend AS allocated_spend, spend / budget_total AS allocated_pct,
+       budget_total - sum(spend) OVER (PARTITION BY scenario_id) AS unallocated, roas, margin_per_dollar
+FROM (SELECT *, CASE WHEN sum(roas) OVER (PARTITION BY scenario_id) > 0 THEN least(alloc, cap)
+                     ELSE budget_total / n END AS spend FROM many_30) s""",
+}
 CTES |= {
     "share": """
 SELECT scenario_id, channel, budget_total, spend AS allocated_spend, spend / budget_total AS allocated_pct,
@@ -595,6 +620,9 @@ LEFT JOIN omargin m ON o.order_id = m.order_id WHERE channel IS NOT NULL GROUP B
     "allocate_share": "SELECT scenario_id, channel, "
     + cols("budget_total", "allocated_spend", "allocated_pct", "unallocated", "roas", "margin_per_dollar", digits=2)
     + " FROM share",
+    "allocate_share_campaigns": "SELECT scenario_id, channel, "
+    + cols("budget_total", "allocated_spend", "allocated_pct", "unallocated", "roas", "margin_per_dollar", digits=2)
+    + " FROM many",
     "impact": "SELECT scenario_id, channel, "
     + cols(
         "allocated_spend", "allocated_pct", "roas", "margin_per_dollar", "base_revenue", "best_revenue",
@@ -625,6 +653,23 @@ FROM bounds GROUP BY scenario_id""",
     "revenue_impact_full_history": impact_of_plan("h.n_days", "increase * 1.1e0", "increase * 0.9e0"),
     "source_profile": _profile(),
     "csv_roundtrip": """SELECT session_id, user_id, session_ts, device, channel, campaign_id FROM sessions_1""",
+    "weekly_regression": f"""
+SELECT week_index, {cols("daily_revenue", "total_spend", *(f"spend_{c}" for c in CHANNELS))}, promo_flag
+FROM (SELECT week_index, CAST(sum(attributed_revenue) AS DOUBLE) AS daily_revenue,
+             CAST(sum(spend) AS DOUBLE) AS total_spend, max(promo_flag) AS promo_flag,
+             {", ".join(f"CAST(coalesce(sum(spend) FILTER (channel = '{c}'), 0) AS DOUBLE) AS spend_{c}" for c in CHANNELS)}
+      FROM chd GROUP BY week_index) w""",
+    "csv_quoted_text": f"""SELECT product_id,
+       ' "' || category || '", sale' || chr(10) || product_id || ' ,"" ' AS category, {cols('cost')} FROM raw_products""",
+    "curated_coerced": f"""SELECT CASE WHEN day(date) % 5 <> 0 THEN date END AS date, channel,
+       {r4("sum(total_spend)")} AS total_spend FROM fch GROUP BY 1, 2""",
+    "repeated_lookups": """
+SELECT signup_date, city_tier, count(*) AS n
+FROM (SELECT CASE WHEN user_id % 7 = 0 AND user_id % 2 = 1 THEN CAST(signup_date - INTERVAL 1 DAY AS DATE)
+                  ELSE signup_date END AS signup_date,
+             CASE WHEN user_id % 7 = 0 AND user_id % 2 = 1 THEN NULL ELSE city_tier END AS city_tier FROM raw_users)
+GROUP BY 1, 2
+UNION ALL SELECT NULL, -1, count(*) FROM raw_order_items WHERE product_id IN (SELECT product_id FROM raw_products)""",
     "json_roundtrip": f"SELECT product_id, category, {cols('cost')} FROM raw_products",
     "missing_source": """SELECT device, count(*) AS session_rows, CAST(0 AS BIGINT) AS known_users FROM raw_sessions
 GROUP BY device""",

@@ -73,6 +73,14 @@ class RegressionConfig:
     test_bucket: int = 0
 
 
+@dataclass(frozen=True)
+class LayoutConfig:
+    """How work is cut into tasks; no value changes a result."""
+
+    orders_per_piece: int = 10_000  # of one session, before its orders are joined in pieces
+    missing_key_spread: int = 4_096  # parts that rows without a lookup key scatter over
+
+
 @dataclass(frozen=True)
 class JobConfig:
     base_path: str
@@ -83,3 +91,4 @@ class JobConfig:
     cleaning: CleaningConfig = field(default_factory=CleaningConfig)
     budget: BudgetConfig = field(default_factory=BudgetConfig)
     regression: RegressionConfig = field(default_factory=RegressionConfig)
+    layout: LayoutConfig = field(default_factory=LayoutConfig)

@@ -58,10 +58,22 @@ def missing_to_null(text: Column | str) -> Column:
     return F.when(~value.isin(*MISSING_TOKENS), value)
 
 
+WHOLE_TYPES = ("tinyint", "smallint", "int", "bigint")
+EXACT = "decimal(38,18)"
+
+
 def parse(text: Column | str, data_type: str, strict: bool = True) -> Column:
-    """Typed value of a text column: a malformed value raises when strict, else becomes NULL."""
+    """Typed value of a text column: a malformed value raises when strict, else becomes NULL.
+
+    A whole number may be written as 12.0, as columns with gaps often are; one with a fraction is malformed.
+    """
     value = as_column(text)
-    return value.cast(data_type) if strict else value.try_cast(data_type)
+    if data_type not in WHOLE_TYPES:
+        return value.cast(data_type) if strict else value.try_cast(data_type)
+    number = value.cast(EXACT) if strict else value.try_cast(EXACT)
+    whole = number.cast(data_type) if strict else number.try_cast(data_type)
+    refused = F.raise_error(F.concat(F.lit("not a whole number: "), value)) if strict else F.lit(None).cast(data_type)
+    return F.when(number == F.floor(number), whole).when(number.isNotNull(), refused)
 
 
 def struct_rows(rows: list[dict[str, object]]) -> Column:

@@ -84,47 +84,71 @@ def channel_metrics(fact_channel_daily: DataFrame, margins: DataFrame, since: Co
 # --- Allocation by share -------------------------------------------------------------------------------------------
 
 
+def _shared(channels: str, budget: str) -> Column:
+    """The channels with ``allocated``: floors first, then rounds that share the rest by weight x headroom."""
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+    def fold(each: Column) -> Column:
+        def one_round(spent: Column, _: Column) -> Column:
+            pull = F.zip_with(spent, each, lambda a, c: c["weight"] * F.greatest(F.lit(0.0), c["cap_spend"] - a))
+            totals = F.array(F.struct((F.col(budget) - total(spent)).alias("rest"), total(pull).alias("pull")))
+
+            def add(t: Column) -> Column:
+                def more(a: Column, c: Column) -> Column:
+                    room = F.greatest(F.lit(0.0), c["cap_spend"] - a)
+                    share = F.least(t["rest"] * c["weight"] * room / t["pull"], room)
+                    return a + F.when((t["rest"] > TOLERANCE) & (t["pull"] > 0), share).otherwise(F.lit(0.0))
+
+                return F.zip_with(spent, each, more)
+
+            return F.transform(totals, add).getItem(0)
+
+        floors = F.transform(each, lambda c: c["floor_spend"])
+        spent = F.aggregate(F.sequence(F.lit(1), F.size(each)), floors, one_round)
+        return F.zip_with(each, spent, lambda c, a: c.withField("allocated", a))
+
+    return F.transform(F.array(F.col(channels)), fold).getItem(0)  # one element: the array is evaluated once
+
+
 def allocate_by_share(
     metrics: DataFrame, scenarios: tuple[ShareScenario, ...] = (ShareScenario(),), rescale: bool = False
 ) -> DataFrame:
     """Minimum share to every channel, the rest by ROAS x headroom up to the maximum share, overflow shared again.
 
-    Each round fills at least one channel or spends the rest, so as many rounds as channels are enough; they are
-    unrolled over the (scenario, channel) rows, which stay in one partitioning throughout. When the maxima cannot hold
-    the budget the remainder is reported as ``unallocated``; ``rescale`` spreads it over the caps instead.
+    Each round fills at least one channel or spends the rest, so there are as many rounds as the scenario has channels,
+    whatever their number: the channels of a scenario are one array, and the rounds a fold over it. When the maxima
+    cannot hold the budget the remainder is reported as ``unallocated``; ``rescale`` spreads it over the caps instead.
     """
     everyone = "OVER (PARTITION BY scenario_id)"
-    kept = ["scenario_id", "channel", "budget_total", "roas", "margin_per_dollar", "weight", "floor_spend", "cap_spend", "n"]
-    state = (
+    plan = (
         metrics.select(
             "channel", "roas", "margin_per_dollar", F.explode(struct_rows([vars(s) for s in scenarios])).alias("s")
         )
         .selectExpr("*", "s.*", "coalesce(roas, 0D) AS weight", "count(1) OVER (PARTITION BY s.scenario_id) AS n")
         .selectExpr(
-            *[c for c in kept if not c.endswith("_spend")],
+            "scenario_id", "channel", "budget_total", "roas", "margin_per_dollar", "weight", "n",
             "least(budget_total * min_pct, budget_total / n) AS floor_spend",
             "budget_total * max_pct AS cap_spend",
         )
-        .selectExpr("*", "floor_spend AS allocated")
-    )
-    for _ in CHANNELS:
-        state = (
-            state.selectExpr("*", "greatest(0D, cap_spend - allocated) AS room")
-            .selectExpr(
-                "*",
-                f"sum(weight * room) {everyone} AS pull_sum",
-                f"budget_total - sum(allocated) {everyone} AS left_over",
-            )
-            .selectExpr(
-                *kept,
-                f"""allocated + CASE WHEN left_over > {TOLERANCE}D AND pull_sum > 0
-                    THEN least(left_over * weight * room / pull_sum, room) ELSE 0D END AS allocated""",
-            )
+        .groupBy("scenario_id", "budget_total", "n")
+        .agg(
+            F.sort_array(
+                F.collect_list(
+                    F.struct("channel", "roas", "margin_per_dollar", "weight", "floor_spend", "cap_spend")
+                )
+            ).alias("channels")
         )
-    plan = state.selectExpr("*", f"sum(weight) {everyone} AS weight_sum").selectExpr(
-        *kept,
-        "CASE WHEN weight_sum > 0 THEN least(greatest(allocated, floor_spend), cap_spend) ELSE budget_total / n END AS plan",
-    )
+        .select("scenario_id", "budget_total", "n", _shared("channels", "budget_total").alias("shared"))
+        .selectExpr("scenario_id", "budget_total", "n", "inline(shared)")
+        .selectExpr("*", f"sum(weight) {everyone} AS weight_sum")
+        .selectExpr(
+            "*",
+            """CASE WHEN weight_sum > 0 THEN least(greatest(allocated, floor_spend), cap_spend)
+               ELSE budget_total / n END AS plan""",
+        )
+    )
     allotted = f"sum(plan) {everyone}"
     spend = f"plan / {allotted} * budget_total" if rescale else "plan"
     return plan.selectExpr(

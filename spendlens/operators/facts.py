@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.columns import money_sum, whole_sum
 from spendlens.functions.kpis import with_kpis
+from spendlens.config import LayoutConfig
 from spendlens.operators.joins import left_lookup, unique_lookup
 from spendlens.schemas import FACT_CAMPAIGN_DAILY, FACT_CHANNEL_DAILY, FACT_SESSIONS
-from spendlens.session import materialize
 
-ORDERS_PER_PIECE = 10_000
+# The columns of an order that the session fact has.
 ORDER_COLUMNS = (
     "session_id", "order_id", "order_ts", "gross_amount", "discount_amount",
     "net_amount", "net_amount_capped", "is_revenue_outlier",
@@ -19,13 +19,14 @@ ORDER_COLUMNS = (
 AMOUNTS = ("gross_amount", "discount_amount", "net_amount", "net_amount_capped")
 
 
-def attach_orders(sessions: DataFrame, orders: DataFrame, piece_size: int = ORDERS_PER_PIECE) -> DataFrame:
+def attach_orders(sessions: DataFrame, orders: DataFrame, piece_size: int = LayoutConfig.orders_per_piece) -> DataFrame:
     """sessions LEFT JOIN orders USING (session_id): one row per order, or one row without an order.
 
-    Sessions are unique and already partitioned by session id, so the plain join moves the orders only. A session id
-    shared by very many orders would land on one task, though, and a left join cannot be split on its right side.
-    Hence the check for crowded sessions (a count combined on the map side); if there are any, they are joined apart,
-    their orders in pieces. ``orders`` is read more than once, so hand over a stored table.
+    Sessions are unique and already partitioned by session id, so the join moves the orders only. A session id shared
+    by very many orders would land on one task, though, and a left join cannot be split on its right side. Crowded
+    sessions (a count combined on the map side) are therefore joined apart, their orders in pieces. It is one plan
+    whatever the data: without crowded sessions adaptive execution finds that side empty and drops it. ``orders`` is
+    read more than once, so hand over a stored table.
     """
     crowded = (
         orders.where(F.col("session_id").isNotNull())
@@ -33,9 +34,6 @@ def attach_orders(sessions: DataFrame, orders: DataFrame, piece_size: int = ORDE
         .agg(F.ceil(F.count(F.lit(1)) / piece_size).cast("int").alias("pieces"))
         .where("pieces > 1")
     )
-    if crowded.isEmpty():
-        return sessions.join(orders, "session_id", "left")
-    crowded = materialize(crowded, "crowded-sessions")
     calm = sessions.join(crowded, "session_id", "left_anti").join(
         orders.join(crowded, "session_id", "left_anti"), "session_id", "left"
     )

@@ -8,17 +8,19 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPREAD = 4096
+from spendlens.config import LayoutConfig
+
 _SALT = "__spread"
 
 
 def unique_lookup(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One row per key, the lowest one if a key is repeated.
+    """One row per key. Of a repeated key the lowest row is taken, column by column in order, a value before NULL.
 
     A repeated key would multiply the rows it is joined to. Grouping also lets the optimizer see that the key is
     unique, so a left join whose columns nobody reads is dropped along with its shuffle.
     """
-    lowest = df.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("lowest"))
+    parts = [part for c in columns for part in (F.col(c).isNull().alias(f"{c}__missing"), F.col(c))]
+    lowest = df.groupBy(*keys).agg(F.min(F.struct(*parts)).alias("lowest"))
     return lowest.select(*keys, *[F.col(f"lowest.{c}").alias(c) for c in columns])
 
 
@@ -30,7 +32,7 @@ def left_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], spread_by:
     adaptive execution splits them. Spark broadcasts the lookup by itself when its measured size allows.
     """
     missing = reduce(or_, [F.col(k).isNull() for k in keys])
-    scattered = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int") + 1
+    scattered = F.pmod(F.xxhash64(*spread_by), F.lit(LayoutConfig.missing_key_spread)).cast("int") + 1
     left = facts.withColumn(_SALT, F.when(missing, scattered).otherwise(F.lit(0)))
     # Written as a condition, not as a literal: a literal key would be folded out of the shuffle.
     right = lookup.withColumn(_SALT, F.when(missing, F.lit(-1)).otherwise(F.lit(0)))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ TARGET = "daily_revenue"
 CONTROLS = ("day_of_week", "promo_flag")
 CHANNEL_FEATURES = tuple(f"spend_{c}" for c in CHANNELS)
 FEATURES = ("total_spend", *CONTROLS, *CHANNEL_FEATURES)
+NULL_SHARE = 1e-10  # of the largest eigenvalue: below it a direction counts as null
 
 
 def regression_table(channel_daily: DataFrame, key: str = "date") -> DataFrame:
@@ -61,34 +61,44 @@ class OlsFit:
         ).withColumn("absolute_coefficient", F.abs("coefficient"))
 
 
+def _minimum_norm(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The shortest b that solves gram b = target in least squares; gram is symmetric, of fixed size.
+
+    Which directions count as null is decided on the correlation scale, where features of any unit compare; the solution
+    is then made orthogonal to those directions in the features' own units.
+    """
+    scale = np.sqrt(np.diag(gram))
+    used = scale > 0
+    result = np.zeros(len(gram))
+    if not used.any():
+        return result
+    scale = scale[used]
+    values, vectors = np.linalg.eigh(gram[np.ix_(used, used)] / np.outer(scale, scale))
+    kept = values > NULL_SHARE * values.max()
+    b = vectors[:, kept] @ ((vectors[:, kept].T @ (target[used] / scale)) / values[kept]) / scale
+    null, _ = np.linalg.qr(vectors[:, ~kept] / scale[:, None])
+    result[used] = b - null @ (null.T @ b)
+    return result
+
+
 def fit_ols(train: DataFrame) -> OlsFit:
-    """Minimum-norm least squares of daily revenue on the eight features.
+    """Minimum-norm least squares of daily revenue on the eight features, whichever of them are collinear.
 
-    ``total_spend`` is the sum of the channel columns, so only b = c_channel + c_total is identified. The fit runs on
-    the other features; the smallest squared norm with c_channel + c_total = b then has c_total = sum(b) / (k + 1)
-    for k channels that vary. Constant features get 0. ``train`` has one row per day and is read twice.
+    ``total_spend`` is the sum of the channel columns, so the features always are. One aggregate gives the means and the
+    centred products (44 numbers); the system of eight equations is solved on the driver. Constant features get 0.
     """
-    bounds = train.agg(
-        F.count(F.lit(1)).alias("n"), *[(F.min(f) < F.max(f)).alias(f) for f in (*CONTROLS, *CHANNEL_FEATURES)]
+    pairs = [(f, g) for i, f in enumerate(FEATURES) for g in (*FEATURES[i:], TARGET)]
+    sums = train.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(f).alias(f) for f in (*FEATURES, TARGET)],
+        *[F.covar_pop(f, g).alias(f"{f}*{g}") for f, g in pairs],
     ).first()
-    if bounds["n"] == 0:
+    if sums["n"] == 0:
         return OlsFit(None, dict.fromkeys(FEATURES))
-    varying = [f for f in (*CONTROLS, *CHANNEL_FEATURES) if bounds[f]]
-    estimates = dict.fromkeys((*CONTROLS, *CHANNEL_FEATURES), 0.0)
-    if varying:
-        rows = VectorAssembler(inputCols=varying, outputCol="features").transform(train)
-        model = LinearRegression(
-            featuresCol="features", labelCol=TARGET, solver="normal", regParam=0.0, standardization=False
-        ).fit(rows)
-        intercept = float(model.intercept)
-        estimates.update(zip(varying, (float(b) for b in model.coefficients)))
-    else:
-        intercept = train.agg(F.avg(TARGET)).first()[0]
-    channels = [f for f in CHANNEL_FEATURES if f in varying]
-    shared = sum(estimates[f] for f in channels) / (len(channels) + 1)
-    for feature in channels:
-        estimates[feature] -= shared
-    return OlsFit(intercept, {f: shared if f == "total_spend" else estimates[f] for f in FEATURES})
+    gram = np.array([[sums[f"{f}*{g}" if f"{f}*{g}" in sums else f"{g}*{f}"] for g in FEATURES] for f in FEATURES])
+    b = _minimum_norm(gram, np.array([sums[f"{f}*{TARGET}"] for f in FEATURES]))
+    intercept = sums[TARGET] - sum(w * sums[f] for f, w in zip(FEATURES, b))
+    return OlsFit(float(intercept), {f: float(w) for f, w in zip(FEATURES, b)})
 
 
 def regression_metrics(table: DataFrame, fit: OlsFit) -> DataFrame:

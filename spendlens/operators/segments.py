@@ -132,8 +132,10 @@ def segment_metrics(cells: DataFrame) -> DataFrame:
 
 
 def enrich_order_items(order_items: DataFrame, products: DataFrame) -> DataFrame:
-    """Order lines with revenue, cost and margin; lines of unknown products drop out."""
-    priced = products.select("product_id", "category", F.col("cost").alias("unit_cost"))
+    """Order lines with revenue, cost and margin; lines of unknown products drop out, repeated products count once."""
+    priced = unique_lookup(
+        products.select("product_id", "category", F.col("cost").alias("unit_cost")), ["product_id"], ["category", "unit_cost"]
+    )
     return (
         order_items.join(priced, "product_id")
         .withColumns(

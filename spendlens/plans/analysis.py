@@ -103,10 +103,13 @@ class Analysis:
 
 
 def run(spark: SparkSession, config: JobConfig) -> None:
-    """Write every analysis table as a rounded report below ``<output path>/analysis``."""
+    """Write every analysis table as a rounded report below ``<output path>/analysis``.
+
+    Malformed dates and times become NULL here, so one of them does not end the job; the ETL job is strict.
+    """
     root = config.output_path.rstrip("/")
-    raw = load_raw(spark, config.base_path, optional=True)
-    sessions = read_curated(spark, f"{root}/fact_sessions", schemas.FACT_SESSIONS, config.file_format)
+    raw = load_raw(spark, config.base_path, strict=False, optional=True)
+    sessions = read_curated(spark, f"{root}/fact_sessions", schemas.FACT_SESSIONS, config.file_format, strict=False)
     a = Analysis(sessions, materialize(clean_ad_spend(raw["ad_spend"]), "ad-spend"), raw["users"], config)
     a.campaign_daily = a.stored_campaign_daily
     a.channel_daily = a.stored_channel_daily
@@ -120,9 +123,12 @@ def run(spark: SparkSession, config: JobConfig) -> None:
         "channel_roas": (simple, ["channel"]),
         "top_campaigns_spend": (kpis.top_campaign_days(a.campaign_daily, "spend"), None),
         "top_campaigns_revenue": (kpis.top_campaign_days(a.campaign_daily, "attributed_revenue"), None),
+        "campaign_averages": (kpis.campaign_averages(a.campaign_daily), None),
         "wasted_spend": (a.wasted, [F.desc("spend"), "date", "campaign_id"]),
         "daily_trends": (daily, ["date"]),
         "weekly_trends": (weekly, ["week_index"]),
+        "promo_days": (trends.promo_periods(daily, "date"), ["date"]),
+        "promo_weeks": (trends.promo_periods(weekly, "week_index"), ["week_index"]),
         "segment_channel_device": (channel_device, ["channel", "device"]),
         "segment_new_user": (segments.segment_new_user(all_cells), ["is_new_user"]),
         "segment_city_tier": (segments.segment_city_tier(all_cells), ["city_tier"]),
@@ -133,11 +139,15 @@ def run(spark: SparkSession, config: JobConfig) -> None:
             insights.inefficiency_lines(insights.inefficiencies(a.wasted, channel_device)),
             ["area_no", "kind", "line_no"],
         ),
+        "last_touch": (attribution.last_touch(a.fact_sessions, config.revenue_column), ["channel"]),
+        "attributed_roas": (a.attributed_roas, ["channel"]),
         "roas_comparison": (attribution.roas_comparison(simple, a.attributed_roas), ["channel"]),
+        "daily_regression": (a.regression_table, ["date"]),
         "regression_metrics": (regression.regression_metrics(a.regression_table, a.fit), None),
         "regression_coefficients": (a.fit.table(spark), [F.desc("absolute_coefficient"), "feature"]),
         "channel_performance": (a.channel_performance, ["channel"]),
         "bounds_allocation": (a.bounds_allocation, ["scenario_id", "channel"]),
+        "bounds_allocation_totals": (budget.allocation_totals(a.bounds_allocation), ["scenario_id"]),
         "revenue_impact": (
             budget.revenue_impact(a.regression_table, a.fit, a.bounds_allocation, config.budget),
             ["scenario_id"],

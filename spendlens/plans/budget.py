@@ -30,7 +30,7 @@ def channel_metrics(
 
 
 def run(spark: SparkSession, config: JobConfig) -> None:
-    """Write the four reports below the output path."""
+    """Write the five reports below the output path."""
     root = config.output_path.rstrip("/")
     raw = load_raw(spark, config.base_path)
     facts = Facts(
@@ -38,12 +38,14 @@ def run(spark: SparkSession, config: JobConfig) -> None:
         read_curated(spark, f"{root}/fact_campaign_daily", schemas.FACT_CAMPAIGN_DAILY, config.file_format),
         read_curated(spark, f"{root}/fact_channel_daily", schemas.FACT_CHANNEL_DAILY, config.file_format),
     )
-    # A handful of rows that four reports start from.
+    # A handful of rows that all reports start from.
     metrics = materialize(channel_metrics(facts, raw["order_items"], raw["products"], config.budget), "metrics")
     allocation = materialize(budget.allocate_by_share(metrics, config.budget.share_scenarios), "allocation")
     keys = ["scenario_id", "channel"]
     write_report(allocation, f"{root}/budget_allocation", 2, keys)
-    write_report(budget.impact_estimates(allocation, config.budget), f"{root}/budget_impact_by_channel", 2, keys)
+    impact = budget.impact_estimates(allocation, config.budget)
+    write_report(impact, f"{root}/budget_impact_by_channel", 2, keys)
+    write_report(budget.impact_totals(impact), f"{root}/budget_impact_totals", 2, ["scenario_id"])
     write_report(
         budget.sensitivity(allocation, config.budget),
         f"{root}/budget_sensitivity",

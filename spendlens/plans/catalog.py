@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 
 from spendlens import schemas
 from spendlens.config import BoundsScenario, BudgetConfig, ChannelBounds, ShareScenario
-from spendlens.functions.columns import parse
+from spendlens.functions.columns import money_sum, parse, ratio
 from spendlens.functions.tables import LazyTables
 from spendlens.operators import attribution, budget, cleaning, facts, insights, kpis, regression, segments, trends
-from spendlens.operators.joins import left_lookup
+from spendlens.operators.joins import left_lookup, unique_lookup
 from spendlens.plans.analysis import Analysis
 from spendlens.plans.budget import channel_metrics as metrics_of
 from spendlens.plans.etl import Facts
@@ -37,6 +37,9 @@ SHARE_SCENARIOS = (
 )
 
 
+CAMPAIGN_SCENARIOS = (ShareScenario("many", 1_000_000.0, 0.005, 0.04), ShareScenario("loose", 1_000_000.0, 0.0, 0.1))
+
+
 def _scaled_bounds(factor: float) -> tuple[ChannelBounds, ...]:
     return tuple(replace(b, max_spend=b.max_spend * factor) for b in BoundsScenario().bounds)
 
@@ -55,6 +58,13 @@ BOUNDS_SCENARIOS = (
 )
 
 
+# What the channel metrics need of the session fact.
+METRIC_COLUMNS = (
+    "session_id", "session_ts", "session_date", "channel", "campaign_id", "order_id", "purchase_flag",
+    "net_amount_capped",
+)
+
+
 class Inputs:
     """Cleaned tables and facts of one data set, built on first use and only as far as a query needs."""
 
@@ -72,7 +82,8 @@ class Inputs:
 
     @cached_property
     def ad_spend(self) -> DataFrame:
-        return cleaning.clean_ad_spend(self.raw["ad_spend"])
+        """Stored: most queries read it in more than one place."""
+        return materialize(cleaning.clean_ad_spend(self.raw["ad_spend"]), "ad-spend")
 
     @cached_property
     def tables(self) -> LazyTables:
@@ -120,11 +131,13 @@ class Inputs:
 
     @cached_property
     def stored_facts(self) -> Facts:
-        campaigns = materialize(
-            facts.build_fact_campaign_daily(self.tables, self.stored_sessions), "fact-campaign-daily"
+        """The facts as far as the channel metrics read them; without the week index the campaign fact has one reader."""
+        sessions = materialize(self.fact_sessions.select(*METRIC_COLUMNS), "fact-sessions")
+        campaigns = facts.build_fact_campaign_daily(self.tables, sessions)
+        channels = materialize(
+            facts.build_fact_channel_daily(self.tables, campaigns).drop("week_index"), "fact-channel-daily"
         )
-        channels = materialize(facts.build_fact_channel_daily(self.tables, campaigns), "fact-channel-daily")
-        return Facts(self.stored_sessions, campaigns, channels)
+        return Facts(sessions, campaigns, channels)
 
     def metrics(self, config: BudgetConfig = BudgetConfig()) -> DataFrame:
         return metrics_of(self.stored_facts, self.raw["order_items"], self.raw["products"], config)
@@ -399,6 +412,12 @@ def daily_regression(i: Inputs) -> DataFrame:
     return regression.with_split(regression.regression_table(i.analysis.channel_daily))
 
 
+@query
+def weekly_regression(i: Inputs) -> DataFrame:
+    """The regression table with weeks for days."""
+    return regression.regression_table(i.analysis.channel_daily, "week_index").drop("day_of_week")
+
+
 @query
 def regression_metrics(i: Inputs) -> DataFrame:
     return regression.regression_metrics(i.analysis.regression_table, i.analysis.fit)
@@ -451,6 +470,17 @@ def allocate_share(i: Inputs) -> DataFrame:
     return i.share_allocation
 
 
+@query(amount_digits=2)
+def allocate_share_campaigns(i: Inputs) -> DataFrame:
+    """The same rule over all campaigns, which takes many more rounds than the five channels do."""
+    campaigns = (
+        i.fact_campaign_daily.groupBy(F.col("campaign_id").alias("channel"))
+        .agg(money_sum("spend").alias("spend"), money_sum("attributed_revenue").alias("revenue"))
+        .select("channel", ratio("revenue", "spend").alias("roas"), F.lit(0.0).alias("margin_per_dollar"))
+    )
+    return budget.allocate_by_share(campaigns, CAMPAIGN_SCENARIOS)
+
+
 @query(amount_digits=2)
 def impact(i: Inputs) -> DataFrame:
     return budget.impact_estimates(i.share_allocation)
@@ -510,6 +540,43 @@ def csv_roundtrip(i: Inputs) -> DataFrame:
     return cleaning.deduplicate(rows, ["session_id"]).drop("ingest_seq")
 
 
+@query
+def csv_quoted_text(i: Inputs) -> DataFrame:
+    """Product names with quotes, commas, line breaks and blanks at the ends, and whole numbers with a point."""
+    path = scratch_path(i.spark, "products-csv")
+    text = F.concat(F.lit(' "'), "category", F.lit('", sale\n'), F.col("product_id"), F.lit(' ,"" '))
+    rows = i.raw["products"].select(F.concat("product_id", F.lit(".0")).alias("product_id"), text.alias("category"), "cost")
+    write_table(rows, path, "csv")
+    return read_csv(i.spark, path, i.raw["products"].schema, multi_line=True)
+
+
+@query
+def curated_coerced(i: Inputs) -> DataFrame:
+    """A channel fact with malformed dates in its CSV, read the way the analysis job does."""
+    path = scratch_path(i.spark, "fact-coerced-csv")
+    rows = i.fact_channel_daily
+    text = F.when(F.day("date") % 5 == 0, F.lit("not a day")).otherwise(F.col("date").cast("string"))
+    write_table(rows.withColumn("date", text), path, "csv")
+    coerced = read_curated(i.spark, path, schemas.FACT_CHANNEL_DAILY, "csv", strict=False)
+    return coerced.groupBy("date", "channel").agg(money_sum("total_spend").alias("total_spend"))
+
+
+@query
+def repeated_lookups(i: Inputs) -> DataFrame:
+    """Users and products of which some come again, with missing or other values: one row each is taken."""
+    again = i.raw["users"].where("user_id % 7 = 0").selectExpr(
+        "user_id", "IF(user_id % 2 = 0, NULL, signup_date - INTERVAL 1 DAY) AS signup_date", "CAST(NULL AS INT) AS city_tier"
+    )
+    users = unique_lookup(i.raw["users"].unionByName(again), ["user_id"], ["signup_date", "city_tier"])
+    more = i.raw["products"].where("product_id % 7 = 0").withColumn("category", F.lit(None).cast("string"))
+    items = segments.enrich_order_items(i.raw["order_items"], i.raw["products"].unionByName(more))
+    tiers = users.groupBy("signup_date", "city_tier").agg(F.count(F.lit(1)).alias("n"))
+    totals = items.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(None).cast("date").alias("signup_date"), F.lit(-1).alias("city_tier"), "n"
+    )
+    return tiers.unionByName(totals)
+
+
 @query
 def json_roundtrip(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "products-json")

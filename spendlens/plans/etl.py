@@ -14,7 +14,7 @@ from spendlens import schemas
 from spendlens.config import JobConfig
 from spendlens.operators.cleaning import clean, dq_report
 from spendlens.operators.facts import build_fact_campaign_daily, build_fact_channel_daily, build_fact_sessions
-from spendlens.session import build_session, materialize
+from spendlens.session import build_session
 from spendlens.sources.files import load_raw, read_curated
 from spendlens.sources.sinks import write_table
 
@@ -26,14 +26,6 @@ class Facts:
     channel_daily: DataFrame
 
 
-def curate(tables: dict[str, DataFrame]) -> Facts:
-    """The three facts from cleaned tables, each stored before the next reads it."""
-    sessions = materialize(build_fact_sessions(tables), "fact-sessions")
-    campaign_daily = materialize(build_fact_campaign_daily(tables, sessions), "fact-campaign-daily")
-    channel_daily = materialize(build_fact_channel_daily(tables, campaign_daily), "fact-channel-daily")
-    return Facts(sessions, campaign_daily, channel_daily)
-
-
 # Fact -> (schema, key it is sorted by, partition columns in parquet)
 OUTPUTS = {
     "fact_sessions": (schemas.FACT_SESSIONS, ["session_id"], ["session_date"]),

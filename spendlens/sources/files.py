@@ -20,14 +20,25 @@ def _typed(schema: T.StructType, strict: bool) -> list:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, strict: bool = True, keep_order: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    strict: bool = True,
+    keep_order: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header. Columns are found by name, the usual missing-value tokens become NULL.
 
+    A quote inside a quoted text is doubled. ``multi_line`` allows line breaks inside quotes, at the price that a file
+    cannot be split; without it a row that a line break cuts raises. All columns are parsed, also those nobody reads:
+    only so are rows with too few or too many values found, which always raise.
+
     ``strict`` raises on a malformed value, otherwise it becomes NULL. ``keep_order`` adds ``ingest_seq``, which sorts
     rows as they stand in the files, so that "first row wins" means the same whichever task reads which split.
     """
-    text_rows = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    text_rows = spark.read.options(
+        header=True, mode="FAILFAST", escape='"', multiLine=multi_line, columnPruning=False
+    ).csv(path)
     columns = _typed(schema, strict)
     if keep_order:
         place = F.struct(
@@ -54,8 +65,19 @@ def optional_source(read, spark: SparkSession, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def load_raw(spark: SparkSession, base_path: str, strict: bool = True, optional: bool = False) -> dict[str, DataFrame]:
-    """The seven raw tables below one folder; ``optional`` turns absent files into empty tables."""
+def load_raw(
+    spark: SparkSession,
+    base_path: str,
+    strict: bool = True,
+    optional: bool = False,
+    json_lines: bool = False,
+    multi_line: bool = False,
+) -> dict[str, DataFrame]:
+    """The seven raw tables below one folder; ``optional`` turns absent files into empty tables.
+
+    ``json_lines`` reads the JSON files as one object per line, which large ones should be, since they are split then;
+    ``multi_line`` allows line breaks inside quoted CSV text.
+    """
     ordered = {"sessions", "orders", "ad_spend"}
     tables = {}
     for name, (file_name, schema) in RAW_FILES.items():
@@ -63,8 +85,8 @@ def load_raw(spark: SparkSession, base_path: str, strict: bool = True, optional:
 
         def read(path=path, schema=schema, name=name):
             if path.endswith(".json"):
-                return read_json(spark, path, schema)
-            return read_csv(spark, path, schema, strict, keep_order=name in ordered)
+                return read_json(spark, path, schema, json_lines)
+            return read_csv(spark, path, schema, strict, name in ordered, multi_line)
 
         if optional:
             empty = T.StructType([*schema.fields, T.StructField("ingest_seq", T.LongType())])
@@ -74,8 +96,11 @@ def load_raw(spark: SparkSession, base_path: str, strict: bool = True, optional:
     return tables
 
 
-def read_curated(spark: SparkSession, path: str, schema: T.StructType, file_format: str = "parquet") -> DataFrame:
-    """A curated fact written by an earlier job, with its declared types."""
+def read_curated(
+    spark: SparkSession, path: str, schema: T.StructType, file_format: str = "parquet", strict: bool = True
+) -> DataFrame:
+    """A curated fact written by an earlier job, with its declared types. Of a CSV fact malformed values raise, or become
+    NULL when not ``strict``."""
     if file_format == "csv":
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, strict)
     return spark.read.schema(schema).format(file_format).load(path)

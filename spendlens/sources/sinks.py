@@ -38,6 +38,7 @@ def write_table(
         # Blanks around a text are data; the CSV writer would trim them.
         writer = writer.options(
             header=True,
+            escape='"',
             timestampNTZFormat=TIMESTAMP_PATTERN,
             ignoreLeadingWhiteSpace=False,
             ignoreTrailingWhiteSpace=False,

@@ -67,6 +67,16 @@ def test_share_allocation_equals_the_loop(spark):
             assert found["email"].unallocated == pytest.approx(s.budget_total - want.sum(), abs=1e-2)
 
 
+@pytest.mark.parametrize("n", [1, 9, 30])
+def test_share_allocation_takes_as_many_rounds_as_there_are_channels(spark, n):
+    roas = {f"channel {i}": float(4.0**-i) for i in range(n)}
+    scenario = (ShareScenario("base", 100.0, 0.0, 1.08 / n),)
+    rows = by_channel(budget.allocate_by_share(metrics(spark, roas), scenario).collect())
+    want = share_by_rounds(np.array(list(roas.values())), 100.0, 0.0, 1.08 / n)
+    assert [rows[c].allocated_spend for c in roas] == pytest.approx(list(want), rel=1e-9, abs=1e-3)
+    assert rows["channel 0"].unallocated == pytest.approx(0, abs=1e-2)
+
+
 def test_budget_beyond_the_caps_stays_unallocated_or_is_rescaled(spark):
     tight = (ShareScenario("base", 100.0, 0.05, 0.1),)
     kept = budget.allocate_by_share(metrics(spark, PUBLISHED_ROAS), tight).collect()

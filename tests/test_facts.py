@@ -107,6 +107,25 @@ def test_crowded_sessions_join_like_all_others(spark):
     assert as_counter(facts.attach_orders(sessions, orders)) == as_counter(plain)
 
 
+def test_the_order_join_runs_nothing_while_it_is_built(spark):
+    sessions = spark.range(20).selectExpr("CAST(id AS STRING) AS session_id", "id AS payload")
+    orders = spark.range(400).selectExpr("'3' AS session_id", "id AS order_id")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("order-join", "built only")
+    joined = facts.attach_orders(sessions, orders, piece_size=10)
+    assert len(tracker.getJobIdsForGroup("order-join")) == 0
+    assert joined.count() == 419
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_unique_lookup_takes_values_before_nulls(spark):
+    rows = spark.createDataFrame(
+        [(1, None, 2), (1, "b", None), (1, "b", 3), (2, None, None), (3, "a", 1), (3, "a", 1)], "k int, x string, y int"
+    )
+    got = {tuple(r) for r in unique_lookup(rows, ["k"], ["x", "y"]).collect()}
+    assert got == {(1, "b", 3), (2, None, None), (3, "a", 1)}
+
+
 def test_left_lookup_equals_left_join_and_spreads_missing_keys(spark):
     left = spark.range(500).selectExpr("id", "IF(id % 3 = 0, NULL, id % 7) AS key")
     right = spark.range(5).selectExpr("id AS key", "id * 10 AS value").unionByName(

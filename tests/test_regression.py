@@ -36,6 +36,18 @@ def test_fit_is_the_minimum_norm_solution(spark, case):
     assert fit.coefficients["total_spend"] == pytest.approx(sum(fit.coefficients[f"spend_{c}"] for c in CHANNELS))
 
 
+def test_any_collinear_columns_give_the_minimum_norm(spark):
+    data, _ = history(spark)
+    data["spend_organic"] = 2 * data.spend_email
+    data["total_spend"] = data[[f"spend_{c}" for c in CHANNELS]].sum(axis=1)
+    data["promo_flag"] = (data.day_of_week == 6).astype(int)
+    data["day_of_week"] = 1 + 3 * data.promo_flag
+    fit = r.fit_ols(r.with_split(spark.createDataFrame(data)))
+    intercept, weights = minimum_norm(data)
+    assert fit.intercept == pytest.approx(intercept, abs=1e-6)
+    assert [fit.coefficients[f] for f in r.FEATURES] == pytest.approx(weights, abs=1e-6)
+
+
 def test_scores_on_the_held_out_days(spark):
     data, table = history(spark)
     data["is_test"] = [(d - pd.Timestamp("1970-01-01").date()).days % 5 == 0 for d in data.date]

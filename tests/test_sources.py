@@ -35,6 +35,29 @@ def test_csv_malformed_values(spark, tmp_path):
     assert [r.signup_date for r in read_csv(spark, path, schemas.USERS, strict=False).orderBy("user_id").collect()] == [dt.date(2024, 1, 1), None]
 
 
+def test_csv_quotes_line_breaks_and_pointed_numbers(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('campaign_id,channel\n"Big ""sale"", spring",search\n"two\nlines",email\n')
+    schema = T.StructType.fromDDL("campaign_id string, channel string")
+    rows = read_csv(spark, str(tmp_path / "c.csv"), schema, multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [('Big "sale", spring', "search"), ("two\nlines", "email")]
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_csv(spark, str(tmp_path / "c.csv"), schema).select("channel").collect()
+    (tmp_path / "u.csv").write_text("user_id,signup_date,city_tier\nu1,2024-01-01,1.0\nu2,2024-01-02,\n")
+    assert [r.city_tier for r in read_csv(spark, str(tmp_path / "u.csv"), schemas.USERS).orderBy("user_id").collect()] == [1, None]
+    (tmp_path / "v.csv").write_text("user_id,signup_date,city_tier\nu1,2024-01-01,1.5\n")
+    with pytest.raises(Exception, match="not a whole number"):
+        read_csv(spark, str(tmp_path / "v.csv"), schemas.USERS).collect()
+    assert read_csv(spark, str(tmp_path / "v.csv"), schemas.USERS, strict=False).first().city_tier is None
+
+
+@pytest.mark.parametrize("row", ["C1", "C1,search,more"])
+def test_csv_rows_of_another_length_raise_whatever_is_read(spark, tmp_path, row):
+    (tmp_path / "c.csv").write_text(f"campaign_id,channel\nC0,email\n{row}\n")
+    schema = T.StructType.fromDDL("campaign_id string")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_csv(spark, str(tmp_path / "c.csv"), schema).collect()
+
+
 def test_first_row_in_file_order_wins(spark, tmp_path):
     for part in range(3):
         lines = "".join(f"{i},{part}-{n}\n" for n, i in enumerate(list(range(200)) * 2))
@@ -151,6 +174,29 @@ def test_jobs_from_raw_files_to_reports(spark, tmp_path, file_format):
     assert scores.mae == pytest.approx(QUERIES["regression_metrics"](spark, SF).first().mae, abs=1e-3)
     findings = spark.read.csv(f"{out}/analysis/segment_findings", header=True)
     assert findings.count() == 6
+    reports = {p.name for p in (tmp_path / "out" / "analysis").iterdir()}
+    assert reports == {
+        "channel_roas", "top_campaigns_spend", "top_campaigns_revenue", "campaign_averages", "wasted_spend",
+        "daily_trends", "weekly_trends", "promo_days", "promo_weeks", "segment_channel_device", "segment_new_user",
+        "segment_city_tier", "category_performance", "segment_spreads", "segment_findings", "inefficiencies",
+        "last_touch", "attributed_roas", "roas_comparison", "daily_regression", "regression_metrics",
+        "regression_coefficients", "channel_performance", "bounds_allocation", "bounds_allocation_totals",
+        "revenue_impact",
+    }
+    assert spark.read.csv(f"{out}/budget_impact_totals", header=True).count() == 1
+
+
+def test_analysis_turns_malformed_dates_into_nulls(spark, tmp_path):
+    out = str(tmp_path / "out")
+    columns = [f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schemas.FACT_SESSIONS]
+    fact = QUERIES["fact_sessions"](spark, SF).selectExpr(*columns).withColumn("session_date", F.lit("some day"))
+    write_table(fact.limit(50), f"{out}/fact_sessions", "csv")
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / schemas.RAW_FILES["ad_spend"][0]).write_text(
+        "date,campaign_id,channel,spend,impressions,clicks,promo_flag\nthen,C001,email,1,1,1,0\n2024-01-01,C001,email,1,1,1,0\n"
+    )
+    analysis.run(spark, JobConfig(str(tmp_path / "raw"), out, "csv"))
+    assert spark.read.csv(f"{out}/analysis/daily_trends", header=True).count() == 1
 
 
 def test_analysis_without_optional_files(spark, tmp_path):
