@@ -15,7 +15,7 @@ from spendlens.config import JobConfig
 from spendlens.operators import attribution, budget, insights, kpis, regression, segments, trends
 from spendlens.operators.cleaning import clean_ad_spend
 from spendlens.plans.etl import parse_args
-from spendlens.session import build_session, materialize
+from spendlens.session import build_session, drop_scratch, materialize
 from spendlens.sources.files import load_raw, read_curated
 from spendlens.sources.sinks import write_report
 
@@ -158,4 +158,6 @@ def run(spark: SparkSession, config: JobConfig) -> None:
 
 
 if __name__ == "__main__":
-    run(build_session("spendlens-analysis"), parse_args("Analyse the curated facts"))
+    session = build_session("spendlens-analysis")
+    run(session, parse_args("Analyse the curated facts"))
+    drop_scratch(session)

@@ -11,7 +11,7 @@ from spendlens import schemas
 from spendlens.config import BudgetConfig, JobConfig
 from spendlens.operators import budget
 from spendlens.plans.etl import Facts, parse_args
-from spendlens.session import build_session, materialize
+from spendlens.session import build_session, drop_scratch, materialize
 from spendlens.sources.files import load_raw, read_curated
 from spendlens.sources.sinks import write_report
 
@@ -56,4 +56,6 @@ def run(spark: SparkSession, config: JobConfig) -> None:
 
 
 if __name__ == "__main__":
-    run(build_session("spendlens-budget"), parse_args("Allocate the next budget"))
+    session = build_session("spendlens-budget")
+    run(session, parse_args("Allocate the next budget"))
+    drop_scratch(session)

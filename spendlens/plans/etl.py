@@ -14,7 +14,7 @@ from spendlens import schemas
 from spendlens.config import JobConfig
 from spendlens.operators.cleaning import clean, dq_report
 from spendlens.operators.facts import build_fact_campaign_daily, build_fact_channel_daily, build_fact_sessions
-from spendlens.session import build_session
+from spendlens.session import build_session, drop_scratch
 from spendlens.sources.files import load_raw, read_curated
 from spendlens.sources.sinks import write_table
 
@@ -70,5 +70,7 @@ def parse_args(description: str) -> JobConfig:
 
 
 if __name__ == "__main__":
-    for table, rows in run(build_session("spendlens-etl"), parse_args("Build the curated facts")).items():
+    session = build_session("spendlens-etl")
+    for table, rows in run(session, parse_args("Build the curated facts")).items():
         print(f"{table}: {rows} rows")
+    drop_scratch(session)

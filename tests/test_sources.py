@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from pathlib import Path
 from urllib.parse import urlparse
 
 import pytest
@@ -11,7 +12,7 @@ from spendlens.config import JobConfig
 from spendlens.operators.cleaning import deduplicate
 from spendlens.plans import analysis, budget, etl
 from spendlens.plans.catalog import QUERIES
-from spendlens.session import materialize, shared_folder
+from spendlens.session import drop_scratch, materialize, shared_folder
 from spendlens.sources import star
 from spendlens.sources.files import load_raw, optional_source, read_csv, read_json
 from spendlens.sources.profile import preview, profile
@@ -119,6 +120,14 @@ def test_materialized_tables_live_in_the_configured_folder(spark):
     assert all(urlparse(f).path.startswith(urlparse(folder).path + "/") for f in stored.inputFiles())
 
 
+def test_scratch_is_removed(spark):
+    stored = materialize(spark.range(3), "test")
+    folder = Path(stored.inputFiles()[0].removeprefix("file:")).parent
+    assert folder.exists()
+    drop_scratch(spark)
+    assert not folder.exists()
+
+
 def test_profile_and_preview(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     rows = {r.column_name: r for r in profile({"t": df}).collect()}
