@@ -521,6 +521,9 @@ SELECT session_id, user_id, session_ts, session_date, device, channel, campaign_
     "fact_campaign_daily_distinct": f"""SELECT date, campaign_id, channel, impressions, clicks, attributed_sessions,
        attributed_orders, {cols(*FCD)} FROM fcd_distinct""",
     "fact_channel_daily": f"SELECT {FCH} FROM fch",
+    "channel_amounts_exact": """
+SELECT date, channel, CAST(CAST(total_spend AS DECIMAL(18,4)) AS VARCHAR) AS total_spend,
+       CAST(CAST(attributed_revenue AS DECIMAL(18,4)) AS VARCHAR) AS attributed_revenue FROM fch""",
     "curated_rescan": f"SELECT {FCH} FROM fch",
     "channel_roas": f"""
 SELECT channel, {cols("attributed_revenue", "spend")}, {r10(div("attributed_revenue", "spend"))} AS ROAS
@@ -597,7 +600,8 @@ SELECT count(*) AS n_test,
        {r4("100 * avg(abs((daily_revenue - p) / daily_revenue)) FILTER (daily_revenue <> 0)")} AS mape
 FROM predicted WHERE is_test""",
     "regression_coefficients": f"""SELECT feature, {cols("coefficient")},
-       {r4("abs(coefficient)")} AS absolute_coefficient FROM coef""",
+       {r4("abs(coefficient)")} AS absolute_coefficient,
+       CAST(row_number() OVER (ORDER BY round(abs(coefficient), 6) DESC, feature) AS INT) AS rank FROM coef""",
     "channel_performance": f"""
 SELECT a.channel, {r10("a.attributed_ROAS")} AS attributed_ROAS, {r4("c.coefficient")} AS regression_coefficient,
        {r4("c.coefficient + (SELECT b FROM shared)")} AS marginal_effect

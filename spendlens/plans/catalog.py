@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -262,6 +262,13 @@ def fact_channel_daily(i: Inputs) -> DataFrame:
     return i.fact_channel_daily
 
 
+@query
+def channel_amounts_exact(i: Inputs) -> DataFrame:
+    """Amounts of the channel fact as exact text, so that not a hundredth of a cent may differ."""
+    amounts = ("total_spend", "attributed_revenue")
+    return i.fact_channel_daily.select("date", "channel", *[F.col(c).cast("decimal(18,4)").cast("string").alias(c) for c in amounts])
+
+
 # --- KPIs and trends ------------------------------------------------------------------------------------------------
 
 
@@ -425,7 +432,9 @@ def regression_metrics(i: Inputs) -> DataFrame:
 
 @query
 def regression_coefficients(i: Inputs) -> DataFrame:
-    return i.analysis.fit.table(i.spark)
+    """With the rank the report is sorted by: eight features, so one window over all of them."""
+    by_weight = Window.orderBy(F.desc(F.round("absolute_coefficient", 6)), "feature")
+    return i.analysis.fit.table(i.spark).withColumn("rank", F.row_number().over(by_weight))
 
 
 @query

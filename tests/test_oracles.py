@@ -15,7 +15,7 @@ SUBSET = (
     "fact_channel_daily", "channel_roas", "campaign_daily", "wasted_spend", "weekly_trends", "sessions_with_spend",
     "seg_city_tier", "segment_findings", "inefficiencies", "roas_comparison", "regression_coefficients",
     "channel_metrics_lookback", "sensitivity", "allocation_totals", "revenue_impact", "source_profile",
-    "allocate_share_campaigns", "repeated_lookups", "csv_quoted_text", "curated_coerced", "weekly_regression",
+    "channel_amounts_exact", "allocate_share_campaigns", "repeated_lookups", "csv_quoted_text", "curated_coerced", "weekly_regression",
     "csv_roundtrip", "json_roundtrip", "missing_source", "curated_rescan", "rounded_report",
 )
 NAMES = tuple(QUERIES) if os.environ.get("ALL_QUERIES") else SUBSET
