@@ -71,6 +71,7 @@ def drop_shared_lines(docs: DataFrame, text: str = "text", min_chars: int = 1, m
         .groupBy(*KEY)
         .agg(F.sort_array(F.collect_set("_pos")).alias("_dropped"))
     )
+    positions = materialize(positions, "dropped-lines")  # the join below may then split a text with many copies
     own = ("n_lines", "n_dropped")
     lines = _lines(F.col("_text"))
     kept = F.when(F.col("_dropped").isNull(), F.col("_text")).otherwise(
