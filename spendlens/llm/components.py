@@ -11,14 +11,14 @@ from spendlens.session import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest in its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -27,8 +27,8 @@ def components(links: DataFrame) -> DataFrame:
     """Columns ``node`` and ``root`` (the smallest node reachable) for each node of ``links`` (a, b) that is not a root.
 
     Each round takes a few shuffles of the links; rounds grow with the logarithm of the longest chain. A hub's links are
-    never gathered: its minimum is a partial aggregate, and the join back may split the hub's rows. Every round is
-    written, so lost executors cost one round at most. No links, links to itself and repeated links are fine.
+    never gathered: its minimum is a partial aggregate, stored so that the join back may split the hub's rows. Every
+    round is written, so lost executors cost one round at most. No links, links to itself and repeated links are fine.
     """
     edges = materialize(links.where("a <> b").select("a", "b").distinct(), "links")
     before = None

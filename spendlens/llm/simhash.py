@@ -117,7 +117,7 @@ def _bucket_links(distance: int):
         for batch in batches:
             b = np.concatenate((held_b, batch.column(0).to_numpy(zero_copy_only=False)))
             p = np.concatenate((held_p, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            whole = np.searchsorted(b != b[-1], False) if not len(b) else int(np.flatnonzero(b == b[-1])[0])
+            whole = int(np.searchsorted(b, b[-1])) if len(b) else 0
             if whole:
                 yield linked(b[:whole], p[:whole])
             held_b, held_p = b[whole:], p[whole:]
