@@ -126,13 +126,14 @@ def benchmark_hits(
         .groupBy(*KEY)
         .agg(F.sort_array(F.collect_set(F.col("_item").cast("string"))).alias("items"))
     )
-    return texts.join(ids, KEY, "left").select(
+    found = texts.join(ids, KEY, "left").select(
         *KEY,
         "n_words",
         "spans",
         _covered(F.col("spans")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
+    return materialize(found, "benchmark-hits")  # a join with the documents may then split a text with many copies
 
 
 def mark_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
