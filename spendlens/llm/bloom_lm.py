@@ -138,17 +138,19 @@ class LogFrequencyFilter:
             out[alive] = at_level
         return out
 
-    def log10_probability(self, tokens: np.ndarray, before: np.ndarray, model: Model) -> np.ndarray:
-        """Interpolated: most of the weight on the pair's share of its context where the context is known."""
-        kinds, where = np.unique(np.concatenate((tokens, before)), return_inverse=True)
-        counts = _MEAN[self.levels(kinds)]
-        word, context = counts[where[: len(tokens)]], counts[where[len(tokens) :]]
+    def log10_probability(
+        self, tokens: np.ndarray, before: np.ndarray, kinds: np.ndarray, where: np.ndarray, model: Model
+    ) -> np.ndarray:
+        """The pair's share of its context, interpolated with the word's frequency; the better known the context, the
+        more the pair counts. ``kinds`` are the distinct tokens, ``where`` each token's place among them."""
+        word = _MEAN[self.levels(kinds)][where]
+        context = np.roll(word, 1)  # each token follows the one before it, and the first an end, as the last one is
         pair = _MEAN[self.levels(_pairs(before, tokens))]
         pair = np.minimum(pair, np.minimum(word, context))  # a pair is no more frequent than its parts
-        weight = context / (context + model.smoothing)
+        weight = model.pair_share * context / (context + model.smoothing)
         share = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
-        single = (word + 0.5) / model.denominator
-        return np.log10(weight * share * 0.9 + (1 - weight * 0.9) * np.minimum(single, 1.0))
+        single = np.minimum((word + 0.5) / model.denominator, 1.0)
+        return np.log10(weight * share + (1 - weight) * single)
 
 
 @dataclass(frozen=True)
@@ -161,7 +163,8 @@ class Model:
     least: int  # n-grams seen less often are left to the lower order
     frequent: np.ndarray  # sorted hashes
     counts: np.ndarray
-    smoothing: float = 20.0
+    smoothing: float = 20.0  # occurrences of a context at which its pairs get half of their weight
+    pair_share: float = 0.4  # the most weight of a pair
 
     @property
     def denominator(self) -> float:
@@ -257,7 +260,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text") -
             found = frequent[at] == kinds if len(frequent) else np.zeros(len(kinds), bool)
             base = np.where(found, np.log10((counts[at] + 0.5) / denominator), 0.0) if len(frequent) else np.zeros(len(kinds))
             known = found[where]
-            logs = held.log10_probability(tokens, before, own_model)
+            logs = held.log10_probability(tokens, before, kinds, where, own_model)
             rare = tokens[~known].view(np.int64)
             cuts = np.concatenate(([0], np.cumsum(np.bincount(row[~known], minlength=batch.num_rows))))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [
