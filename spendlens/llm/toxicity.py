@@ -135,12 +135,14 @@ def train(
     sample = learning.select("_id").orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(unlabelled).distinct()
     rows = (
         learning.join(F.broadcast(chosen), "_id", "left_semi")
-        .select(F.lit(True).alias("positive"), "_text")
+        .select(F.lit(True).alias("positive"), "_text", "_id")
         .unionByName(
-            learning.join(F.broadcast(sample), "_id", "left_semi").select(F.lit(False).alias("positive"), "_text")
+            learning.join(F.broadcast(sample), "_id", "left_semi").select(F.lit(False).alias("positive"), "_text", "_id")
         )
+        .dropDuplicates(["positive", "_id"])  # an id that many rows share is one training row
+        .select("positive", "_text")
         .mapInArrow(_buckets, "positive boolean, buckets binary")
-        .collect()  # at most positives + unlabelled ids
+        .collect()  # at most positives + unlabelled rows
     )
     known_rows, other_rows = ([np.frombuffer(r[1], "<u4") for r in rows if r[0] is is_known] for is_known in (True, False))
     return fit(known_rows, other_rows, float(prior))
