@@ -179,7 +179,10 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, width: int, compare:
         ),
         "contexts",
     )
-    crowded = contexts.groupBy("gram").agg((F.count(F.lit(1)) > MOST_CONTEXTS).alias("crowded"))
+    # stored, so that the join may split an anchor with very many contexts
+    crowded = materialize(
+        contexts.groupBy("gram").agg((F.count(F.lit(1)) > MOST_CONTEXTS).alias("crowded")), "crowded-anchors"
+    )
     asked = (
         contexts.join(crowded, "gram")
         .select("gram", "context", "times", "crowded", "one.*")
