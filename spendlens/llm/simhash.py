@@ -171,7 +171,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance
     bounded_batches(docs.sparkSession)
     ids = docs.select(F.col(doc_id).alias("_id"), *text_key(F.col(text)), _fingerprints(F.col(text)).alias("_print"))
     prints = materialize(ids, "prints")
-    roots = materialize(components(near_links(prints, distance)), "roots")
+    return named(prints, materialize(components(near_links(prints, distance)), "roots"))
+
+
+def named(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``prints`` with ``component_id``; ``roots`` are the components of their values of ``_print``."""
     least = prints.groupBy("_print").agg(F.min("_id").alias("_least"))
     placed = materialize(
         least.join(roots, F.col("_print") == F.col("node"), "left").select(
@@ -186,9 +190,13 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4) -> DataFrame:
     """One document of each group, with its own columns: the one that names the group (of repeated ids, the first by a
     hash of the text; without ids, likewise)."""
+    return keep_first(docs, groups(docs, doc_id, text, distance), doc_id, text)
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document of each group of ``grouped`` that ``keep_one`` takes."""
     chosen = (
-        groups(docs, doc_id, text, distance)
-        .where(F.col("_id").eqNullSafe(F.col("component_id")))
+        grouped.where(F.col("_id").eqNullSafe(F.col("component_id")))
         .groupBy(F.coalesce(F.col("component_id").cast("string"), F.col("_print").cast("string")).alias("_group"), F.col("component_id").isNull().alias("_nameless"))
         .agg(F.min(F.struct("_id", "_k1", "_k2")).alias("_first"))
         .select("_first.*")
