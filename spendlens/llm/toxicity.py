@@ -118,8 +118,8 @@ def train(
     """Learn from confirmed toxic texts and from texts taken without their labels.
 
     Rows of the held-out fold are not used. ``prior`` is the share of toxic texts; by default that among all labelled
-    rows outside the fold (the only use made of labels other than toxic). The samples are the first rows by hashes of
-    the id: at most ``positives`` toxic ones and ``unlabelled`` of all.
+    rows outside the fold (the only use made of labels other than toxic). The samples are the first distinct ids by
+    their hashes: at most ``positives`` toxic ones and ``unlabelled`` of all.
     """
     bounded_batches(docs.sparkSession)
     known = (
@@ -132,7 +132,7 @@ def train(
     chosen = known.where("_toxic = 1").orderBy(F.xxhash64("_id"), "_id").limit(positives).select("_id")
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     learning = own.where(~held_out(F.col("_id")))
-    sample = learning.select("_id").orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(unlabelled).distinct()
+    sample = learning.select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(unlabelled)
     rows = (
         learning.join(F.broadcast(chosen), "_id", "left_semi")
         .select(F.lit(True).alias("positive"), "_text", "_id")
