@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,8 @@ from spendlens.session import materialize
 
 _U = np.uint64
 
-#: Size of the filter: 32 MiB, whatever the corpus. Probes per level, and the blocks that tasks build.
+#: Size of a part of the filter: 32 MiB; there are as many parts as the corpus needs. Probes per level, and the blocks of a
+#: part, which tasks build.
 BITS, PROBES, BLOCKS = 1 << 28, 5, 64
 #: Words whose exact counts are broadcast (16 bytes each); the counts of rarer ones are joined.
 FREQUENT = 1 << 20
@@ -88,8 +90,15 @@ def _blocks(grams: np.ndarray) -> np.ndarray:
     return grams >> _U(58)
 
 
-def _block_column(gram: str) -> Column:
-    return F.shiftrightunsigned(gram, 58).cast("int")
+def _parts(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The part each gram is in, by other bits than its block; as in ``_block_column``."""
+    return (grams >> _U(34) & _U(0xFFFFFF)) % _U(parts)
+
+
+def _block_column(gram: str, parts: int) -> Column:
+    """Blocks are numbered through all parts."""
+    part = F.shiftrightunsigned(gram, 34).bitwiseAND(F.lit(0xFFFFFF)) % parts
+    return (part * BLOCKS + F.shiftrightunsigned(gram, 58)).cast("int")
 
 
 def _insert(bits: int):
@@ -119,7 +128,7 @@ def _insert(bits: int):
 
 
 class LogFrequencyFilter:
-    """Bits of all blocks in order."""
+    """Bits of all blocks of a part in order."""
 
     def __init__(self, flags: np.ndarray) -> None:
         self.flags, self.bits = flags, len(flags) * 8
@@ -138,29 +147,39 @@ class LogFrequencyFilter:
             out[alive] = at_level
         return out
 
-    def log10_probability(
-        self, tokens: np.ndarray, before: np.ndarray, kinds: np.ndarray, where: np.ndarray, model: Model
-    ) -> np.ndarray:
-        """The pair's share of its context, interpolated with the word's frequency; the better known the context, the
-        more the pair counts. ``kinds`` are the distinct tokens, ``where`` each token's place among them."""
-        word = _MEAN[self.levels(kinds)][where]
-        context = np.roll(word, 1)  # each token follows the one before it, and the first an end, as the last one is
-        pair = _MEAN[self.levels(_pairs(before, tokens))]
-        pair = np.minimum(pair, np.minimum(word, context))  # a pair is no more frequent than its parts
-        weight = model.pair_share * context / (context + model.smoothing)
-        share = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
-        single = np.minimum((word + 0.5) / model.denominator, 1.0)
-        return np.log10(weight * share + (1 - weight) * single)
+
+def _levels(grams: np.ndarray, parts: list[Broadcast], only: LogFrequencyFilter | None) -> np.ndarray:
+    """Levels of grams in any part; ``only`` is the filter if there is one part. Else one part is loaded at a time."""
+    if only is not None:
+        return only.levels(grams)
+    out, of = np.zeros(len(grams), np.int64), _parts(grams, len(parts))
+    for i, part in enumerate(parts):
+        at = np.flatnonzero(of == i)
+        if len(at):
+            flags = part.load_from_path(part._path)  # not .value, which would keep it
+            out[at] = LogFrequencyFilter(np.frombuffer(flags, np.uint8)).levels(grams[at])
+    return out
+
+
+def _log10_probability(word: np.ndarray, pair: np.ndarray, model: Model) -> np.ndarray:
+    """The pair's share of its context, interpolated with the word's frequency; the better known the context, the more
+    the pair counts. Levels of the tokens of whole texts, and of the pair that each ends."""
+    word, pair = _MEAN[word], _MEAN[pair]
+    context = np.roll(word, 1)  # each token follows the one before it, and the first an end, as the last one is
+    pair = np.minimum(pair, np.minimum(word, context))  # a pair is no more frequent than its parts
+    weight = model.pair_share * context / (context + model.smoothing)
+    share = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
+    single = np.minimum((word + 0.5) / model.denominator, 1.0)
+    return np.log10(weight * share + (1 - weight) * single)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Fixed-size part of a trained model; the counts themselves stay in a table."""
+    """What is broadcast of a trained model; the counts themselves stay in a table."""
 
-    flags: bytes
+    parts: list[Broadcast]  # of the filter, each of fixed size
     train_tokens: int
     distinct: int
-    least: int  # n-grams seen less often are left to the lower order
     frequent: np.ndarray  # sorted hashes
     counts: np.ndarray
     smoothing: float = 20.0  # occurrences of a context at which its pairs get half of their weight
@@ -176,10 +195,10 @@ def train(
 ) -> tuple[Model, DataFrame]:
     """The model, and the table of exact word counts (gram, n) it comes with.
 
-    All n-grams of all given texts are counted, in shuffles that grow with the corpus. The filter has a fixed size: if
-    the quantised counts are too many for it, those of the rarest n-grams are left out and scored by the lower order, so
-    that it is never over half full and errs as seldom for any corpus. It is built block by block, each by the task that
-    has the block's n-grams. No texts: no tokens, an empty filter.
+    All n-grams of all given texts are counted, in shuffles that grow with the corpus. All are kept in
+    the filter, which has as many parts of ``bits`` as leave each about half full, so that it errs as seldom for any
+    corpus. It is built block by block, each by the task that has the block's n-grams, and the driver holds one part at
+    a time. No texts: no tokens, an empty filter.
     """
     bounded_batches(docs.sparkSession)
     counted = (
@@ -201,19 +220,23 @@ def train(
         .orderBy(F.desc("count"))
         .collect()  # at most some 7,000 rows
     )
-    least = _fitting([(r["count"], r["entries"]) for r in sizes], int(bits * 0.69 / PROBES))
+    parts = max(1, -(-sum(r["entries"] for r in sizes) // int(bits * 0.69 / PROBES)))
     often = _fitting([(r["count"], r["words"]) for r in sizes], frequent)
 
-    kept = grams.where(F.col("n") >= least).select(F.col("gram"), F.col("n"))
-    blocked = kept.select(_block_column("gram").alias("block"), "gram", "n").repartition(F.col("block"))
-    flags = np.zeros(bits // 8, np.uint8)
-    width = bits // BLOCKS // 8
-    for block, made in blocked.mapInArrow(_insert(bits), "block int, flags binary").toLocalIterator():
-        flags[block * width : (block + 1) * width] = np.frombuffer(made, np.uint8)  # the filter, of fixed size
+    blocked = grams.select(_block_column("gram", parts).alias("block"), "gram", "n").repartition(F.col("block"))
+    built = materialize(blocked.mapInArrow(_insert(bits), "block int, flags binary"), "filter")
+    width, sent = bits // BLOCKS // 8, []
+    for part in range(parts):
+        flags = np.zeros(bits // 8, np.uint8)
+        mine = built.where((F.col("block") >= part * BLOCKS) & (F.col("block") < (part + 1) * BLOCKS))
+        for block, made in mine.toLocalIterator():
+            at = (block - part * BLOCKS) * width
+            flags[at : at + width] = np.frombuffer(made, np.uint8)  # a part, of fixed size
+        sent.append(docs.sparkSession.sparkContext.broadcast(flags.tobytes()))
     top = words.where(F.col("n") >= often).toArrow()  # at most `frequent` rows of two numbers
     hashes = top["gram"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    model = Model(flags.tobytes(), int(total), int(distinct), least, hashes[order], top["n"].to_numpy()[order])
+    model = Model(sent, int(total), int(distinct), hashes[order], top["n"].to_numpy()[order])
     return model, words
 
 
@@ -232,13 +255,15 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text") -
     """A row per document: its columns without the text, ``n_tokens``, ``n_known`` (tokens seen in training),
     ``train_tokens``, ``base_score`` (smoothed word frequencies) and ``score``, the log10 probability by the model.
 
-    Columns of these names are replaced. Null and empty texts are an end and nothing else. The filter and the counts of
-    the most frequent words are broadcast, both of fixed size; rarer words go through a join with the exact counts, so
+    Columns of these names are replaced. Null and empty texts are an end and nothing else. The parts of the
+    filter are broadcast and loaded one at a time, for a million tokens each time; so are the counts of the most frequent
+    words, which are of fixed size. Rarer words go through a join with the exact counts, so
     counts are exact for every word. Texts themselves are not shuffled.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    parts = model.parts
+    sent = spark.sparkContext.broadcast(replace(model, parts=[]))
     own = ("n_tokens", "n_known", "train_tokens", "base_score", "score", text)
     made = [
         T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
@@ -250,17 +275,16 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text") -
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_model: Model = sent.value
-        held = LogFrequencyFilter(np.frombuffer(own_model.flags, np.uint8))
+        only = LogFrequencyFilter(np.frombuffer(parts[0].value, np.uint8)) if len(parts) == 1 else None
         frequent, counts, denominator = own_model.frequent, own_model.counts, own_model.denominator
-        for batch in batches:
-            tokens, before, lengths = _sequences(batch.column(batch.num_columns - 1))
+
+        def scored_batch(batch: pa.RecordBatch, tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
             row = np.repeat(np.arange(batch.num_rows), lengths)
             kinds, where = np.unique(tokens, return_inverse=True)
             at = np.minimum(np.searchsorted(frequent, kinds), max(len(frequent) - 1, 0))
             found = frequent[at] == kinds if len(frequent) else np.zeros(len(kinds), bool)
             base = np.where(found, np.log10((counts[at] + 0.5) / denominator), 0.0) if len(frequent) else np.zeros(len(kinds))
             known = found[where]
-            logs = held.log10_probability(tokens, before, kinds, where, own_model)
             rare = tokens[~known].view(np.int64)
             cuts = np.concatenate(([0], np.cumsum(np.bincount(row[~known], minlength=batch.num_rows))))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [
@@ -270,7 +294,27 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text") -
                 pa.array(np.bincount(row, logs, batch.num_rows)),
                 pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(rare)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+            return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+        def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            tokens, before = (np.concatenate([x[i] for x in held]) for i in (1, 2))
+            kinds, where = np.unique(tokens, return_inverse=True)
+            levels = _levels(np.concatenate((kinds, _pairs(before, tokens))), parts, only)
+            logs = _log10_probability(levels[: len(kinds)][where], levels[len(kinds) :], own_model)
+            upto = np.cumsum([len(x[1]) for x in held])
+            for (batch, own_tokens, _, lengths), end in zip(held, upto.tolist(), strict=True):
+                yield scored_batch(batch, own_tokens, lengths, logs[end - len(own_tokens) : end])
+
+        held, size = [], 0
+        for batch in batches:
+            tokens, before, lengths = _sequences(batch.column(batch.num_columns - 1))
+            held.append((batch, tokens, before, lengths))
+            size += len(tokens)
+            if only is not None or size >= _GATHER:  # each part is loaded once for all that is held
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
 
     scored = materialize(ordered.mapInArrow(scores, schema), "scored")
     rare = scored.select("_k1", "_k2", F.explode("_rare").alias("gram")).join(words, "gram", "left")
