@@ -10,42 +10,70 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import bpe, decontaminate, line_dedup, near_copies as copies, quality_rules
-from spendlens.llm.common import read_table
+from spendlens.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
+from spendlens.llm.common import packed, read_table, unpacked
 from spendlens.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base limits nor the learned rules reject."""
+    """Documents that neither the base limits nor the learned rules reject.
+
+    Null, empty and blank texts have no words and fail the base limits. Repeated rows are judged alike, each by itself;
+    an empty table stays empty. Columns keep their names and values, whatever they are called.
+    """
     rules = quality_rules.learn_rules(docs, read_table(spark, sf_dir, "labels"))
     return quality_rules.keep_good(docs, rules)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the lines that ten or more documents share; ``n_chars`` follows the text."""
+    """Without the lines that ten or more documents share; ``n_chars`` follows the text.
+
+    Every row stays, a null text as null, an empty one as empty, and a text all of whose lines are shared becomes empty.
+    Repeated rows of one id count as one document and lose the same lines. Of the other columns none changes; a table
+    without ``n_chars`` does not get it.
+    """
     shorter = line_dedup.drop_shared_lines(docs)
-    return shorter.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    if "n_chars" in docs.columns:
+        shorter = shorter.withColumn("n_chars", F.char_length("text").cast("long"))
+    return shorter.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return copies.keep_one(docs)
+    """One document of each group that SimHash links: four-word shingles, prints within four bits.
+
+    Null, empty and blank texts share print zero, so one of them stays. Of repeated rows one stays; of rows with equal
+    id and text that differ elsewhere, the first by a hash of the row. An empty table stays empty.
+    """
+    return simhash.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts hold no passage and stay; repeated rows are judged alike. An empty benchmark removes nothing.
+    """
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+#: The columns that the last stage puts in place of the text.
+TOKEN_COLUMNS = ("n_tokens", "token_ids", "round_trip")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the text, checked against it: ``round_trip`` says that they decode to the same bytes."""
+    """Token ids in place of the text, checked against it: ``round_trip`` says that they decode to the same bytes.
+
+    A null text is like an empty one: no tokens. Rows are encoded one by one, so ties and repeated rows stay as they are.
+    Columns of the names in TOKEN_COLUMNS are replaced; every other column passes unchanged, ``decoded`` too.
+    """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
+    aside = ("text", *TOKEN_COLUMNS)
+    rows = docs.select(packed(docs, *aside), F.col("text").alias("_text"))
+    coded = bpe.encode_documents(rows, path, public_tokenizers.PATTERN, "_text")
     return coded.select(
-        *[c for c in docs.columns if c != "text"],
+        *unpacked(docs, *aside),
         "n_tokens",
         "token_ids",
-        (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"),
+        (F.col("decoded") == F.coalesce(F.col("_text"), F.lit("")).cast("binary")).alias("round_trip"),
     )
 
 
