@@ -189,7 +189,7 @@ def named(prints: DataFrame, roots: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4) -> DataFrame:
     """One document of each group, with its own columns: the one that names the group (of repeated ids, the first by a
-    hash of the text; without ids, likewise)."""
+    hash of the text; without ids, likewise; of equal ids and texts, the first by a hash of the row)."""
     return keep_first(docs, groups(docs, doc_id, text, distance), doc_id, text)
 
 
@@ -208,4 +208,6 @@ def keep_first(docs: DataFrame, grouped: DataFrame, doc_id: str = "doc_id", text
         & (F.col("d._k2") == F.col("c._k2"))
     )
     kept = keyed.join(chosen.alias("c"), same, "left_semi")
-    return kept.dropDuplicates(["_own", "_k1", "_k2"]).select(*unpacked(docs))
+    # equal id and text, but perhaps other columns: the first by content, so that a repeated task takes the same row
+    one = kept.groupBy("_own", "_k1", "_k2").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return one.select(*unpacked(docs))

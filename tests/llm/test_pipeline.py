@@ -39,6 +39,19 @@ def test_stages(spark, request, table):
             assert docs.count() == len(rows) and docs.where(~F.col("round_trip")).count() == 0
 
 
+def test_tokens_keep_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x", True, "d"), (2, None, 8, "y", False, "e")], "doc_id long, text string, n_tokens int, token_ids string, round_trip boolean, decoded string")
+    made = materialize(corpus_pipeline.tokens(spark, docs, SF), "clash")
+    assert sorted(made.columns) == ["decoded", "doc_id", "n_tokens", "round_trip", "token_ids"]
+    assert [(r.doc_id, r.n_tokens, r.decoded, r.round_trip) for r in made.orderBy("doc_id").collect()] == [(1, 2, "d", True), (2, 0, "e", True)]
+
+
+def test_near_copies_take_one_row_of_equal_id_and_text(spark):
+    rows = [(1, "a b c d e f", x) for x in "zyx"] + [(2, "quite another text than that one", "w")]
+    kept = [set(map(tuple, corpus_pipeline.near_copies(spark, spark.createDataFrame(rows[::step], "doc_id long, text string, source string").repartition(parts), SF).collect())) for step, parts in ((1, 1), (-1, 3))]
+    assert len(kept[0]) == 2 and kept[0] == kept[1]
+
+
 def test_run_is_the_stages(spark):
     made = corpus_pipeline.run(spark, SF)
     assert made.count() > 100 and "token_ids" in made.columns
