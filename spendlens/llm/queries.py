@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import bloom_lm, bpe, decontaminate, line_dedup, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from spendlens.llm import (
+    bloom_lm, bpe, decontaminate, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup,
+    toxicity,
+)
 from spendlens.llm.common import read_table
 
 
@@ -97,6 +100,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.place(made.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
@@ -108,6 +117,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_automata": op9_suffix_automata,
     "op10_line_dedup": op10_line_dedup,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLES = {
