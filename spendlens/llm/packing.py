@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
-from collections import Counter
+import struct
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, count, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -24,33 +26,64 @@ CAPACITY = 2048
 #: Pieces that are numbered in one task, about; a length that more pieces have is numbered in several.
 BUCKET = 20_000
 #: Characters after which a long text is cut at the next blank, and distinct words whose ids a worker remembers.
-PIECE_CHARS, REMEMBERED = 1 << 20, 1 << 18
+PIECE_CHARS, REMEMBERED = 1 << 20, 1 << 20
 #: Bytes of ids after which a task hands on what it has.
 _GATHER = 1 << 22
 
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
-#: Where no token reaches across: at white space, and between a Latin-1 letter and a full stop or comma. The tokenizer
-#: drops white space and takes letters and punctuation apart. (Some other letters are not enough: normalised or in lower
-#: case they end in a combining mark, which goes with the punctuation.)
-_CUT = re.compile(r"[\x20\x09-\x0D]+|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,])")
+#: A word of Latin-1 letters, and perhaps other ASCII after it. No token reaches across white space, which the tokenizer
+#: drops, or across the end of such letters, and their case does not count. (Other letters may, normalised or in lower
+#: case, end in a combining mark, which goes with the punctuation; and < | > may belong to a special token.)
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-;=?-{}~]*)\Z")
+#: Byte-level form of the letters that are not ASCII: a character for each byte of their UTF-8. Bytes from A1 to AC and from
+#: AE on stand for themselves, the rest for characters from U+0100 on, 33 and a space and DEL before them.
+_BYTES = [chr(b) if 0xA1 <= b <= 0xAC or b >= 0xAE else chr(0x100 + 34 + min(b - 0x80, 33)) for b in range(0x80, 0x100)]
+_BYTE_LEVEL = {n: "".join(_BYTES[b - 0x80] for b in chr(n).encode()) for n in range(0xC0, 0x100)}
+#: The steps of a tokenizer that ``WordIds`` relies on.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Python's split takes these for white space, the tokenizer does not.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WordIds:
     """Ids of texts, from the library's ids of their words; words met before are not encoded again."""
 
     def __init__(self, tokenizer: str) -> None:
+        steps = json.loads(tokenizer)
+        kinds = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])]
+        if kinds != _NORMALIZERS or json.dumps(_SPLIT) not in json.dumps(steps["pre_tokenizer"]):
+            raise ValueError("not a tokenizer that lower-cases, drops white space and takes letters and punctuation apart")
         self._tokenizer = Tokenizer.from_str(tokenizer)
-        self._known: dict[str, bytes] = {}
+        self._model = self._tokenizer.model
+        self._forget()
+
+    def _forget(self) -> None:
+        self._numbers = defaultdict(count().__next__)  # of the words met, in the order met
+        self._ids: list[bytes] = []  # of each
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [_CUT.split(text) for text in texts]
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        new = list(set().union(*words) - self._known.keys())
-        for word, made in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._known[word] = np.array(made.ids, "<u4").tobytes()
-        return [b"".join(map(self._known.__getitem__, own)) for own in words]
+        if len(self._ids) > REMEMBERED:
+            self._forget()
+        number = self._numbers.__getitem__
+        numbered = [list(map(number, _words(text))) for text in texts]
+        new = list(islice(reversed(self._numbers), len(self._numbers) - len(self._ids)))
+        self._ids += self._encode_words(new[::-1])
+        return [b"".join(map(self._ids.__getitem__, own)) for own in numbered]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; words that differ by their case or punctuation only are encoded once."""
+        cut = [(m[1].lower(), m[2]) if (m := _LETTERS.match(word)) else ("", word) for word in words]
+        parts = dict.fromkeys((other for _, other in cut), False) | dict.fromkeys((word for word, _ in cut if word), True) | {"": False}
+        ids = {}
+        for part, letters in parts.items():
+            if letters:
+                made = [token.id for token in self._model.tokenize(part if part.isascii() else part.translate(_BYTE_LEVEL))]
+            else:
+                made = self._tokenizer.encode(part, add_special_tokens=False).ids
+            ids[part] = struct.pack(f"<{len(made)}I", *made)
+        return [ids[word] + ids[other] for word, other in cut]
 
     def stretches(self, text: str) -> Iterator[bytes]:
         """Ids of a long text in order, a stretch at a time; a stretch without a blank stays whole."""
@@ -64,6 +97,13 @@ class WordIds:
         yield from self.encode([text[at:]])
 
 
+def _words(text: str) -> list[str]:
+    """Runs without white space, by the tokenizer's meaning of it or a narrower one."""
+    if any(c in text for c in _SEPARATORS):
+        return _BLANK.split(text)
+    return text.split()
+
+
 @functools.lru_cache(maxsize=2)
 def _word_ids(tokenizer: str) -> WordIds:
     """One per worker process."""

@@ -57,7 +57,7 @@ def test_pieces_and_places(request, table, capacity):
 def test_stretches_and_words_give_the_ids_of_the_whole_text(monkeypatch):
     tokenizer, random_ = Tokenizer.from_file(WORDS), random.Random(3)
     words = packing.WordIds(open(WORDS, encoding="utf-8").read())
-    some = ["a", "Z", "7", "'s", "'", "n't", "\n", " ", "\t", "é", "é", "́", "　", "\x1c", "!", ".", ",", ".,", "²", "ǆ", "Σ", "İ", "<|endoftext|>", "\U0001f600", "​", "ा", "\u0958", "ß", "Ä"]
+    some = ["a", "Z", "7", "'s", "'", "n't", "\n", " ", "\t", "é", "é", "́", "　", "\x1c", "!", ".", ",", ".,", "²", "ǆ", "Σ", "İ", "<|endoftext|>", "\U0001f600", "​", "ा", "\u0958", "ß", "Ä", "\x01", "\x85", "\xa0", "\u2028", "\u180e", "\ufeff", "\u2000"]
     monkeypatch.setattr(packing, "PIECE_CHARS", 11)
     for _ in range(600):
         text = "".join(random_.choices(some, k=50))
@@ -66,6 +66,15 @@ def test_stretches_and_words_give_the_ids_of_the_whole_text(monkeypatch):
         assert b"".join(words.stretches(text)) == want
 
 
+def test_all_letters_that_take_the_short_way():
+    tokenizer = Tokenizer.from_file(WORDS)
+    words = packing.WordIds(open(WORDS, encoding="utf-8").read())
+    for text in ("".join(map(chr, range(0xC0, 0x100))), " ".join(map(chr, range(0x21, 0x180))), " ".join(f"x{chr(n)}Y{chr(n)}." for n in range(0x21, 0x180))):
+        assert words.encode([text]) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    with pytest.raises(ValueError, match="tokenizer"):
+        packing.WordIds(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+
+
 def test_fullest_is_exact():
     random_ = random.Random(9)
     for _ in range(200):
