@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm import (
-    bloom_lm, bpe, decontaminate, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup,
-    toxicity,
+    bloom_lm, bpe, decontaminate, line_dedup, packing, prefix_trie, quality_rules, sharding, simhash, substring_dedup,
+    suffix_dedup, toxicity,
 )
 from spendlens.llm.common import read_table
 
@@ -100,6 +100,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.grafted(turns))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -117,6 +122,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_automata": op9_suffix_automata,
     "op10_line_dedup": op10_line_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
@@ -191,4 +197,35 @@ ORACLES = {
                    AS kept_sha256
         FROM l LEFT JOIN shared ON l.key = shared.key GROUP BY doc_id
     """,
+    "op11_prefix_trie": """
+        WITH own AS (
+            SELECT conv_id, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST, role, text) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), h AS (
+            SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295,
+                list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                         lambda v, _: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 4 AS h
+            FROM own
+        ), p AS (
+            SELECT h.conv_id, list_concat(list_slice(coalesce(giver.turns, []), 1, h), list_slice(h.turns, h + 1, len(h.turns)))
+                AS path FROM h LEFT JOIN own AS giver ON giver.conv_id = h.conv_id - h.conv_id % 20
+        ), n AS (
+            SELECT list_slice(path, 1, depth) AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                                   FILTER (WHERE depth = len(path)), '')) AS ends_sha256
+            FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM p) GROUP BY ALL
+        ), m AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(
+                regexp_split_to_array(node[depth][2], '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) END AS saved
+            FROM n LEFT JOIN (SELECT list_slice(node, 1, depth - 1) AS node, count(*) AS n_children FROM n
+                              WHERE depth > 0 GROUP BY 1) AS c USING (node)
+        ), below AS (
+            SELECT list_slice(node, 1, up) AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM m) GROUP BY 1
+        )
+        SELECT m.conv_id, m.depth, parent.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+        FROM m JOIN below USING (node) LEFT JOIN n AS parent ON m.depth > 0 AND parent.node = list_slice(m.node, 1, m.depth - 1)
+    """,
 }
