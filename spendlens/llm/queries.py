@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm import (
-    bloom_lm, bpe, decontaminate, line_dedup, packing, prefix_trie, quality_rules, sharding, simhash, substring_dedup,
-    suffix_dedup, toxicity,
+    bloom_lm, bpe, decontaminate, hard_negatives, line_dedup, packing, prefix_trie, quality_rules, sharding, simhash,
+    substring_dedup, suffix_dedup, toxicity,
 )
 from spendlens.llm.common import read_table
 
@@ -105,6 +105,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.grafted(turns))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -123,6 +128,7 @@ QUERIES = {
     "op9_suffix_automata": op9_suffix_automata,
     "op10_line_dedup": op10_line_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
@@ -228,4 +234,25 @@ ORACLES = {
                CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
         FROM m JOIN below USING (node) LEFT JOIN n AS parent ON m.depth > 0 AND parent.node = list_slice(m.node, 1, m.depth - 1)
     """,
+    "op12_hard_negatives": """
+        WITH r AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM r AS a JOIN r AS b ON a.id % 100 = 0 AND a.id <> b.id
+        ), p AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score
+            FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
 }
