@@ -397,6 +397,40 @@ FROM (SELECT *, new_revenue - baseline_revenue AS increase FROM
               FROM predicted) h) x) y"""
 
 
+CTES |= {
+    "placed": """
+SELECT o.order_id, s.user_id, o.order_ts, o.gross_amount, s.session_id, s.channel AS own_channel
+FROM orders_c o JOIN sessions_c s ON s.session_id = o.session_id""",
+    "preceding": """
+SELECT p.order_id, p.user_id, p.order_ts, p.gross_amount AS revenue, p.session_id, s.session_id AS touch_session_id,
+       s.session_ts AS touch_ts, s.channel AS touch_channel
+FROM placed p LEFT JOIN sessions_c s
+  ON s.session_ts <= p.order_ts AND (s.user_id = p.user_id OR p.user_id IS NULL AND s.session_id = p.session_id)
+QUALIFY row_number() OVER (PARTITION BY p.order_id ORDER BY s.session_ts DESC, s.session_id DESC) = 1""",
+    "touched": """
+SELECT order_id, units, channel, count(*) AS linear, CAST(sum(weight) AS HUGEINT) AS decay
+FROM (SELECT p.order_id, CAST(p.gross_amount * 10000 AS HUGEINT) AS units, s.channel,
+             greatest(1, CAST(round(pow(2.0e0, 20 - date_diff('day', CAST(s.session_ts AS DATE), CAST(p.order_ts AS DATE)) / 3.0e0))
+                              AS BIGINT)) AS weight
+      FROM placed p JOIN sessions_c s ON s.user_id = p.user_id AND s.session_ts <= p.order_ts
+           AND date_diff('day', CAST(s.session_ts AS DATE), CAST(p.order_ts AS DATE)) <= 9)
+GROUP BY ALL""",
+    "touch_shares": """
+SELECT *, CAST(sum(linear) OVER o AS HUGEINT) AS linear_sum, CAST(sum(decay) OVER o AS HUGEINT) AS decay_sum
+FROM (SELECT * FROM touched UNION ALL
+      SELECT order_id, CAST(gross_amount * 10000 AS HUGEINT), own_channel, 1, 1 FROM placed
+      WHERE order_id NOT IN (SELECT order_id FROM touched)) WINDOW o AS (PARTITION BY order_id)""",
+    "credits": """
+SELECT order_id, channel, linear AS touches,
+       CAST(linear_part + CASE WHEN row_number() OVER (PARTITION BY order_id ORDER BY (units * linear) % linear_sum DESC, channel NULLS LAST)
+                               <= units - sum(linear_part) OVER (PARTITION BY order_id) THEN 1 ELSE 0 END AS BIGINT) / 10000.0e0
+           AS linear_credit,
+       CAST(decay_part + CASE WHEN row_number() OVER (PARTITION BY order_id ORDER BY (units * decay) % decay_sum DESC, channel NULLS LAST)
+                              <= units - sum(decay_part) OVER (PARTITION BY order_id) THEN 1 ELSE 0 END AS BIGINT) / 10000.0e0
+           AS decay_credit
+FROM (SELECT *, (units * linear) // linear_sum AS linear_part, (units * decay) // decay_sum AS decay_part FROM touch_shares)""",
+}
+
 FCD = ("spend", "attributed_revenue", "cpc", "ctr", "cvr", "roas", "cac_proxy")
 FCH = """date, channel, {0}, total_impressions, total_clicks, attributed_sessions, attributed_orders,
        {1}, day_of_week, promo_flag, week_index""".format(cols("total_spend"), cols("attributed_revenue"))
@@ -655,6 +689,16 @@ FROM bounds GROUP BY scenario_id""",
         "30", "greatest(increase * 1.1e0, increase * 0.9e0)", "least(increase * 1.1e0, increase * 0.9e0)"
     ),
     "revenue_impact_full_history": impact_of_plan("h.n_days", "increase * 1.1e0", "increase * 0.9e0"),
+    "preceding_session": f"""SELECT order_id, user_id, order_ts, {cols("revenue")}, session_id, touch_session_id, touch_ts,
+       touch_channel FROM preceding""",
+    "preceding_touch": f"""
+SELECT touch_channel AS channel, {r4("sum(revenue)")} AS attributed_revenue, count(order_id) AS attributed_orders,
+       count(*) FILTER (WHERE session_id <> touch_session_id) AS other_session_orders
+FROM preceding WHERE touch_channel IS NOT NULL GROUP BY 1""",
+    "multi_touch_credits": f"SELECT order_id, channel, touches, {cols('linear_credit', 'decay_credit')} FROM credits",
+    "multi_touch": f"""
+SELECT channel, {r4("sum(linear_credit)")} AS linear_revenue, {r4("sum(decay_credit)")} AS decay_revenue,
+       count(*) AS assisted_orders FROM credits GROUP BY channel""",
     "source_profile": _profile(),
     "csv_roundtrip": """SELECT session_id, user_id, session_ts, device, channel, campaign_id FROM sessions_1""",
     "weekly_regression": f"""

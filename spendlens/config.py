@@ -73,6 +73,19 @@ class RegressionConfig:
     test_bucket: int = 0
 
 
+@dataclass(frozen=True)
+class TouchConfig:
+    """Which sessions share the credit of an order, and how much older ones count."""
+
+    lookback_days: int = 30
+    half_life_days: float = 7.0
+
+    @property
+    def day_weights(self) -> tuple[int, ...]:
+        """Weight of a session so many days before the order's day: whole numbers, one at least."""
+        return tuple(max(1, round(2 ** (20 - d / self.half_life_days))) for d in range(self.lookback_days + 1))
+
+
 @dataclass(frozen=True)
 class LayoutConfig:
     """How work is cut into tasks; no value changes a result."""
@@ -91,4 +104,5 @@ class JobConfig:
     cleaning: CleaningConfig = field(default_factory=CleaningConfig)
     budget: BudgetConfig = field(default_factory=BudgetConfig)
     regression: RegressionConfig = field(default_factory=RegressionConfig)
+    touches: TouchConfig = field(default_factory=TouchConfig)
     layout: LayoutConfig = field(default_factory=LayoutConfig)

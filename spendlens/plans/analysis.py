@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spendlens import schemas
 from spendlens.config import JobConfig
-from spendlens.operators import attribution, budget, insights, kpis, regression, segments, trends
+from spendlens.operators import attribution, budget, insights, kpis, regression, segments, touches, trends
 from spendlens.operators.cleaning import clean_ad_spend
 from spendlens.plans.etl import parse_args
 from spendlens.session import build_session, drop_scratch, materialize
@@ -142,6 +142,14 @@ def run(spark: SparkSession, config: JobConfig) -> None:
         "last_touch": (attribution.last_touch(a.fact_sessions, config.revenue_column), ["channel"]),
         "attributed_roas": (a.attributed_roas, ["channel"]),
         "roas_comparison": (attribution.roas_comparison(simple, a.attributed_roas), ["channel"]),
+        "preceding_touch": (
+            touches.preceding_touch(touches.preceding_sessions(a.fact_sessions, config.revenue_column)),
+            ["channel"],
+        ),
+        "multi_touch": (
+            touches.multi_touch(touches.multi_touch_credits(a.fact_sessions, config.touches, config.revenue_column)),
+            ["channel"],
+        ),
         "daily_regression": (a.regression_table, ["date"]),
         "regression_metrics": (regression.regression_metrics(a.regression_table, a.fit), None),
         "regression_coefficients": (a.fit.table(spark), [F.desc("absolute_coefficient"), "feature"]),

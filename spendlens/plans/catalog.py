@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens import schemas
-from spendlens.config import BoundsScenario, BudgetConfig, ChannelBounds, ShareScenario
+from spendlens.config import BoundsScenario, BudgetConfig, ChannelBounds, ShareScenario, TouchConfig
 from spendlens.functions.columns import money_sum, parse, ratio
 from spendlens.functions.tables import LazyTables
-from spendlens.operators import attribution, budget, cleaning, facts, insights, kpis, regression, segments, trends
+from spendlens.operators import attribution, budget, cleaning, facts, insights, kpis, regression, segments, touches, trends
 from spendlens.operators.joins import left_lookup, unique_lookup
 from spendlens.plans.analysis import Analysis
 from spendlens.plans.budget import channel_metrics as metrics_of
@@ -414,6 +414,32 @@ def roas_comparison(i: Inputs) -> DataFrame:
     return attribution.roas_comparison(kpis.channel_roas(a.channel_daily), a.attributed_roas)
 
 
+@query
+def preceding_session(i: Inputs) -> DataFrame:
+    """The last session of the user before each order."""
+    return touches.preceding_sessions(i.stored_sessions)
+
+
+@query
+def preceding_touch(i: Inputs) -> DataFrame:
+    return touches.preceding_touch(touches.preceding_sessions(i.stored_sessions))
+
+
+# A lookback shorter than the test history.
+TOUCHES = TouchConfig(lookback_days=9, half_life_days=3.0)
+
+
+@query
+def multi_touch_credits(i: Inputs) -> DataFrame:
+    """Linear and time-decay credit of each order by channel."""
+    return touches.multi_touch_credits(i.stored_sessions, TOUCHES)
+
+
+@query
+def multi_touch(i: Inputs) -> DataFrame:
+    return touches.multi_touch(touches.multi_touch_credits(i.stored_sessions, TOUCHES))
+
+
 @query
 def daily_regression(i: Inputs) -> DataFrame:
     return regression.with_split(regression.regression_table(i.analysis.channel_daily))
