@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from oracles.fixtures import FIXTURES
@@ -269,6 +270,47 @@ def _least_squares() -> dict[str, str]:
 CTES |= _least_squares()
 
 
+def _resampled(replicates: int) -> dict[str, str]:
+    """The same steps with weights, for all replicates side by side: sums become windows over a replicate."""
+    cuts, below = [], 0.0
+    for k in range(16):
+        below += math.exp(-1) / math.factorial(k)
+        cuts += [round(below * 2**32)] if round(below * 2**32) < 2**32 else []
+    n, own = len(FREE), "OVER (PARTITION BY replicate)"
+    ctes = {
+        "days_drawn": f"""
+SELECT *, {" + ".join(f"CAST(u >= {cut} AS INT)" for cut in cuts)} AS w
+FROM (SELECT reg.*, replicate, CAST('0x' || substr(md5(strftime(date, '%Y-%m-%d') || ':' || replicate), 1, 8) AS BIGINT) AS u
+      FROM reg CROSS JOIN (SELECT unnest(range(1, {replicates + 1})) AS replicate) r WHERE NOT is_test) d""",
+        "boot_0": f"SELECT replicate, w, daily_revenue AS y, 1.0e0 AS e0, "
+        f"{', '.join(f'CAST({f} AS DOUBLE) AS x{k}' for k, f in enumerate(FREE, 1))} FROM days_drawn WHERE w > 0",
+    }
+
+    def slope(of: str, k: int) -> str:
+        square = f"sum(w * e{k} * e{k}) {own}"
+        return f"CASE WHEN {square} > 1e-9 THEN sum(w * {of} * e{k}) {own} / {square} ELSE 0 END"
+
+    for k in range(1, n + 1):
+        parts = " - ".join(f"({slope(f'x{k}', j)}) * e{j}" for j in range(k))
+        ctes[f"boot_{k}"] = f"SELECT *, x{k} - {parts} AS e{k} FROM boot_{k - 1}"
+    ctes[f"unboot_{n}"] = f"SELECT *, y AS y{n} FROM boot_{n}"
+    for k in range(n, 0, -1):
+        ctes[f"unboot_{k - 1}"] = (
+            f"SELECT *, y{k} - b{k} * x{k} AS y{k - 1} FROM (SELECT *, {slope(f'y{k}', k)} AS b{k} FROM unboot_{k}) z"
+        )
+    spend = [k for k, f in enumerate(FREE, 1) if f.startswith("spend_")]
+    ctes["boot_slopes"] = f"""
+SELECT replicate, {", ".join(f"max(b{k}) AS b{k}" for k in range(1, n + 1))},
+       ({" + ".join(f"max(b{k})" for k in spend)}) / {len(spend) + 1} AS part FROM unboot_0 GROUP BY replicate"""
+    rows = ["SELECT replicate, 'total_spend' AS feature, part AS coefficient FROM boot_slopes"]
+    rows += [f"SELECT replicate, '{f}', b{k}{' - part' if k in spend else ''} FROM boot_slopes" for k, f in enumerate(FREE, 1)]
+    ctes["boot_coef"] = "\nUNION ALL ".join(rows)
+    return ctes
+
+
+CTES |= _resampled(100)
+
+
 def _values(rows: list[tuple], names: str) -> str:
     def literal(v: object) -> str:
         return f"'{v}'" if isinstance(v, str) else f"{v!r}e0"
@@ -398,6 +440,38 @@ FROM (SELECT *, new_revenue - baseline_revenue AS increase FROM
 
 
 CTES |= {
+    "open_days": """
+SELECT date, channel, sum(spend) AS spend, sum(attributed_revenue) AS revenue FROM chd WHERE day(date) % 5 <> 0 GROUP BY 1, 2""",
+    "calendar": """
+SELECT CAST(d AS DATE) AS date, channel FROM (SELECT DISTINCT channel FROM open_days) x
+CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM open_days), (SELECT max(date) FROM open_days),
+                                          INTERVAL 1 DAY)) AS d) y""",
+    "frames": """
+SELECT c.date, c.channel,
+       (SELECT coalesce(sum(spend), 0) FROM open_days t WHERE t.channel = c.channel AND t.date BETWEEN c.date - 6 AND c.date - 0) AS spend_sum,
+       (SELECT coalesce(sum(revenue), 0) FROM open_days t WHERE t.channel = c.channel AND t.date BETWEEN c.date - 6 AND c.date - 0) AS revenue_sum,
+       (SELECT coalesce(sum(spend), 0) FROM open_days t WHERE t.channel = c.channel AND t.date BETWEEN c.date - 13 AND c.date - 7) AS spend_before,
+       (SELECT coalesce(sum(revenue), 0) FROM open_days t WHERE t.channel = c.channel AND t.date BETWEEN c.date - 13 AND c.date - 7) AS revenue_before
+FROM calendar c""",
+    # The best plan is the lower limits and then, channel by channel of falling value, what the budget still allows.
+    "share_rows": _values([(s.scenario_id, s.budget_total, s.min_pct, s.max_pct) for s in SHARE_SCENARIOS],
+                          "scenario_id, budget_total, min_pct, max_pct"),
+    "best_plan": """
+SELECT scenario_id, channel, budget_total, value, lower, upper, lower + greatest(0, least(upper - lower,
+       budget_total - sum(lower) OVER (PARTITION BY scenario_id)
+       - coalesce(sum(upper - lower) OVER (PARTITION BY scenario_id ORDER BY value DESC, channel
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS optimal_spend
+FROM (SELECT scenario_id, channel, budget_total, coalesce(roas, 0) AS value, budget_total * max_pct AS upper,
+             least(budget_total * min_pct, budget_total / count(*) OVER (PARTITION BY scenario_id), budget_total * max_pct) AS lower
+      FROM share_rows CROSS JOIN metrics_90) m""",
+    "best_bounds": """
+SELECT scenario_id, channel, budget_total, value, lower, upper, lower + greatest(0, least(room,
+       budget_total - sum(lower) OVER (PARTITION BY scenario_id)
+       - coalesce(sum(room) OVER (PARTITION BY scenario_id ORDER BY value DESC, channel
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS optimal_spend
+FROM (SELECT *, CASE WHEN value > 0 THEN upper - lower ELSE 0 END AS room
+      FROM (SELECT scenario_id, b.channel, budget_total, coalesce(coefficient * factor, 0) AS value, min_spend AS lower, max_spend AS upper
+            FROM bounds_scenarios b LEFT JOIN coef c ON c.feature = 'spend_' || b.channel) v) r""",
     "placed": """
 SELECT o.order_id, s.user_id, o.order_ts, o.gross_amount, s.session_id, s.channel AS own_channel
 FROM orders_c o JOIN sessions_c s ON s.session_id = o.session_id""",
@@ -689,6 +763,41 @@ FROM bounds GROUP BY scenario_id""",
         "30", "greatest(increase * 1.1e0, increase * 0.9e0)", "least(increase * 1.1e0, increase * 0.9e0)"
     ),
     "revenue_impact_full_history": impact_of_plan("h.n_days", "increase * 1.1e0", "increase * 0.9e0"),
+    "coefficient_intervals": f"""
+SELECT c.feature, {r4("any_value(c.coefficient)")} AS coefficient, {r4("quantile_cont(b.coefficient, 0.025)")} AS lower,
+       {r4("quantile_cont(b.coefficient, 0.975)")} AS upper,
+       {r4("avg(CAST(round(b.coefficient, 9) > 0 AS INT))")} AS positive_share, count(*) AS replicates
+FROM coef c JOIN boot_coef b ON b.feature = c.feature GROUP BY c.feature""",
+    "daily_exact_split": """
+SELECT date, row_number() OVER (ORDER BY CAST('0x' || substr(md5(':' || strftime(date, '%Y-%m-%d')), 1, 15) AS BIGINT), date)
+             <= ceil(0.2 * count(*) OVER ()) AS is_test FROM reg""",
+    "rolling_roas": f"""SELECT date, channel, {cols("spend_sum", "revenue_sum")}, {r10("rolling_roas")} AS rolling_roas,
+       {r10("previous_roas")} AS previous_roas, {r10("rolling_roas - previous_roas")} AS roas_change
+FROM (SELECT *, {div("revenue_sum", "spend_sum", "NULL")} AS rolling_roas,
+             {div("revenue_before", "spend_before", "NULL")} AS previous_roas FROM frames) f""",
+    "allocate_optimal": f"SELECT scenario_id, channel, {cols('budget_total', 'value', 'lower', 'upper', 'optimal_spend', digits=2)} FROM best_plan",
+    "optimal_gap": f"""
+SELECT scenario_id, {cols("optimal_revenue", "rule_revenue", digits=2)}, {rounded("optimal_revenue - rule_revenue", 2)} AS loss,
+       {rounded("100 * (" + div("optimal_revenue - rule_revenue", "optimal_revenue") + ")", 2)} AS loss_pct
+FROM (SELECT p.scenario_id, sum(optimal_spend * value) AS optimal_revenue, sum(allocated_spend * value) AS rule_revenue
+      FROM best_plan p JOIN share s ON s.scenario_id = p.scenario_id AND s.channel = p.channel GROUP BY 1) g""",
+    "allocate_optimal_bounds": f"SELECT scenario_id, channel, {cols('budget_total', 'value', 'lower', 'upper', 'optimal_spend', digits=2)} FROM best_bounds",
+    "distinct_rollups": """
+SELECT 'channel' AS grain, c.channel, CAST(NULL AS DATE) AS week, count(DISTINCT session_id) AS sessions,
+       count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (WHERE purchase_flag = 1) AS buyers
+FROM fs LEFT JOIN campaigns_c c ON c.campaign_id = fs.campaign_id GROUP BY 2
+UNION ALL SELECT 'week', NULL, CAST(date_trunc('week', session_date) AS DATE), count(DISTINCT session_id), count(DISTINCT user_id),
+       count(DISTINCT user_id) FILTER (WHERE purchase_flag = 1) FROM fs GROUP BY 3
+UNION ALL SELECT 'total', NULL, NULL, count(DISTINCT session_id), count(DISTINCT user_id),
+       count(DISTINCT user_id) FILTER (WHERE purchase_flag = 1) FROM fs""",
+    "sketches_within_bounds": """
+SELECT CAST(date_trunc('week', session_date) AS DATE) AS week, count(order_id) AS orders, count(DISTINCT user_id) AS users,
+       true AS users_fit, true AS q50_fits, true AS q90_fits FROM fs GROUP BY 1""",
+    "quarantined_rows": f"""
+SELECT CASE WHEN order_id % 13 = 0 AND order_id % 17 = 0 THEN 'order_ts: soon; net_amount: 1.2.3'
+            WHEN order_id % 13 = 0 THEN 'order_ts: soon' WHEN order_id % 17 = 0 THEN 'net_amount: 1.2.3' ELSE 'none' END AS reason,
+       count(*) AS n, {r4(f"sum(CASE WHEN order_id % 17 <> 0 THEN {money('net_amount')} END)")} AS net_amount
+FROM raw_orders GROUP BY 1""",
     "preceding_session": f"""SELECT order_id, user_id, order_ts, {cols("revenue")}, session_id, touch_session_id, touch_ts,
        touch_channel FROM preceding""",
     "preceding_touch": f"""

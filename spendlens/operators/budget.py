@@ -198,6 +198,81 @@ def sensitivity(allocation: DataFrame, config: BudgetConfig = BudgetConfig()) ->
     )
 
 
+# --- The best allocation there is ----------------------------------------------------------------------------------
+
+
+def share_limits(metrics: DataFrame, scenarios: tuple[ShareScenario, ...] = (ShareScenario(),)) -> DataFrame:
+    """The limits of ``allocate_by_share`` as rows: ``lower`` and ``upper`` spend of each channel and its ``value``, the
+    revenue of a unit spent."""
+    return (
+        metrics.select("channel", "roas", F.explode(struct_rows([vars(s) for s in scenarios])).alias("s"))
+        .selectExpr("channel", "coalesce(roas, 0D) AS value", "s.*", "count(1) OVER (PARTITION BY s.scenario_id) AS n")
+        .selectExpr(
+            "scenario_id", "channel", "budget_total", "value",
+            "least(budget_total * min_pct, budget_total / n, budget_total * max_pct) AS lower",
+            "budget_total * max_pct AS upper",
+        )
+    )
+
+
+def bounds_limits(
+    performance: DataFrame,
+    scenarios: tuple[BoundsScenario, ...] = (BoundsScenario(),),
+    weight: str = "regression_coefficient",
+) -> DataFrame:
+    """The limits of ``allocate_by_bounds`` as rows."""
+    limits = performance.sparkSession.createDataFrame(
+        [
+            (s.scenario_id, s.budget_total, b.channel, b.min_spend, b.max_spend, dict(s.weight_factor).get(b.channel, 1.0))
+            for s in scenarios
+            for b in s.bounds
+        ],
+        "scenario_id string, budget_total double, channel string, lower double, upper double, factor double",
+    )
+    value = F.coalesce(F.col("raw") * F.col("factor"), F.lit(0.0))
+    return limits.join(performance.select("channel", F.col(weight).alias("raw")), "channel", "left").select(
+        "scenario_id", "channel", "budget_total", value.alias("value"), "lower", "upper"
+    )
+
+
+def optimal_spend(limits: DataFrame, whole_budget: bool = True) -> DataFrame:
+    """The allocation of greatest revenue inside the limits: ``limits`` with ``optimal_spend``.
+
+    Revenue is linear, so the best plan gives every channel its lower limit and then fills the channels one after the
+    other, by value: two running sums and no rounds. Equal values go by channel name. ``whole_budget`` spends what the
+    upper limits can take even where it earns nothing; without it only channels of positive value get more than their
+    lower limit. Lower limits above the budget stay as they are (nothing is spare then).
+    """
+    everyone = Window.partitionBy("scenario_id")
+    better = everyone.orderBy(F.desc("value"), "channel").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.col("upper") - F.col("lower"), F.lit(0.0))
+    return (
+        limits.withColumn("room", room if whole_budget else F.when(F.col("value") > 0, room).otherwise(0.0))
+        .withColumns(
+            {
+                "spare": F.greatest(F.col("budget_total") - F.sum("lower").over(everyone), F.lit(0.0)),
+                "taken": F.coalesce(F.sum("room").over(better), F.lit(0.0)),
+            }
+        )
+        .withColumn("optimal_spend", F.col("lower") + F.least("room", F.greatest(F.col("spare") - F.col("taken"), F.lit(0.0))))
+        .drop("room", "spare", "taken")
+    )
+
+
+def optimal_gap(optimal: DataFrame, allocation: DataFrame) -> DataFrame:
+    """Revenue of the best plan and of ``allocation`` (``allocated_spend``) per scenario, and what the latter loses."""
+    pairs = optimal.join(allocation.select("scenario_id", "channel", "allocated_spend"), ["scenario_id", "channel"], "left")
+    return (
+        pairs.groupBy("scenario_id")
+        .agg(
+            F.sum(F.col("optimal_spend") * F.col("value")).alias("optimal_revenue"),
+            F.sum(F.coalesce("allocated_spend", F.lit(0.0)) * F.col("value")).alias("rule_revenue"),
+        )
+        .withColumn("loss", F.col("optimal_revenue") - F.col("rule_revenue"))
+        .withColumn("loss_pct", 100 * ratio("loss", "optimal_revenue"))
+    )
+
+
 # --- Allocation inside absolute limits -----------------------------------------------------------------------------
 
 

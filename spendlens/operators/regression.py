@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
+from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlens.config import CHANNELS, RegressionConfig
@@ -131,3 +136,100 @@ def channel_performance(attributed: DataFrame, fit: OlsFit) -> DataFrame:
         .join(weights, "channel", "left")
         .withColumn("marginal_effect", marginal)
     )
+
+
+# --- How sure the coefficients are ---------------------------------------------------------------------------------
+
+
+def portable_hash(text: Column, digits: int) -> Column:
+    """The first hexadecimal digits of the text's MD5 as a whole number: the same in any engine."""
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
+
+
+def poisson_cuts(bits: int = 32) -> list[int]:
+    """Where a whole number of so many random bits turns from one count of a Poisson(1) variable to the next."""
+    below = accumulate(math.exp(-1) / math.factorial(k) for k in range(16))
+    return [cut for p in below if (cut := round(p * 2**bits)) < 2**bits]
+
+
+def bootstrap_coefficients(train: DataFrame, replicates: int = 200, key: str = "date") -> DataFrame:
+    """``replicate``, ``feature``, ``coefficient``: the fit of ``fit_ols`` on ``replicates`` Poisson resamples of the days.
+
+    A day counts in a replicate as often as a hash of the two says, so a resample does not depend on how the days are
+    spread, or on which task is run again. One aggregate makes the centred products of all replicates (rows are days times
+    replicates, combined before the shuffle); each replicate's eight equations are then solved in the tasks.
+    """
+    names = (*FEATURES, TARGET)
+    means = train.agg(*[F.avg(c).alias(c) for c in names])
+    # centred on the whole first, which keeps the products small; the replicate's own mean is taken out below
+    centred = [(F.col(c) - means.select(c).scalar()).cast("double").alias(c) for c in names]
+    number = portable_hash(F.concat_ws(":", F.col(key).cast("string"), F.col("replicate").cast("string")), 8)
+    weight = sum((F.when(F.col("_u") >= cut, 1).otherwise(0) for cut in poisson_cuts()), F.lit(0))
+    pairs = [(f, g) for i, f in enumerate(FEATURES) for g in (*FEATURES[i:], TARGET)]
+    moments = (
+        train.select(key, *centred, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+        .withColumn("_u", number)
+        .withColumn("_w", weight.cast("double"))
+        .where("_w > 0")
+        .groupBy("replicate")
+        .agg(
+            F.sum("_w").alias("n"),
+            *[F.sum(F.col("_w") * F.col(c)).alias(c) for c in names],
+            *[F.sum(F.col("_w") * F.col(f) * F.col(g)).alias(f"{f}*{g}") for f, g in pairs],
+        )
+    )
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                def product(f: str, g: str, row: dict = row) -> float:
+                    return row[f"{f}*{g}" if f"{f}*{g}" in row else f"{g}*{f}"] - row[f] * row[g] / row["n"]
+
+                gram = np.array([[product(f, g) for g in FEATURES] for f in FEATURES])
+                weights = _minimum_norm(gram, np.array([product(f, TARGET) for f in FEATURES]))
+                yield pd.DataFrame({"replicate": row["replicate"], "feature": FEATURES, "coefficient": weights})
+
+    return moments.mapInPandas(solved, "replicate int, feature string, coefficient double")
+
+
+def coefficient_intervals(fit: OlsFit, resampled: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Each coefficient with the ends of its percentile interval, and the share of replicates in which it is positive."""
+    tail = (1 - confidence) / 2
+    ends = resampled.groupBy("feature").agg(
+        F.percentile("coefficient", tail).alias("lower"),
+        F.percentile("coefficient", 1 - tail).alias("upper"),
+        F.avg((F.round("coefficient", 9) > 0).cast("double")).alias("positive_share"),
+        F.count(F.lit(1)).alias("replicates"),
+    )
+    return fit.table(resampled.sparkSession).drop("absolute_coefficient").join(ends, "feature", "left")
+
+
+# --- A split of an exact size --------------------------------------------------------------------------------------
+
+HASH_DIGITS, BUCKET_BITS = 15, 16
+
+
+def with_exact_split(table: DataFrame, share: float = 0.2, key: str = "date", seed: str = "") -> DataFrame:
+    """``is_test`` for exactly ceil(share x rows) rows, those whose hash of ``key`` (unique) comes first.
+
+    The hash of the last test row is found without sorting the table: rows are counted per bucket of leading bits (65,536
+    at most, the only list that one task sees), and hashes are ranked inside the one bucket that the wanted rank falls
+    into. ``table`` is read three times, so hand over a stored one. A row keeps its side unless the share's limit moves
+    past it. Rows without a key hash like an empty text.
+    """
+    number = portable_hash(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), HASH_DIGITS)
+    hashed = table.withColumn("_h", number).withColumn("_bucket", F.shiftright("_h", 4 * HASH_DIGITS - BUCKET_BITS))
+    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_rows = Window.partitionBy()
+    border = (
+        hashed.groupBy("_bucket")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_upto": F.sum("_n").over(upto), "_wanted": F.ceil(F.sum("_n").over(all_rows) * F.lit(Decimal(str(share))))})
+        .where("_wanted > 0 AND _upto >= _wanted AND _upto - _n < _wanted")
+        .select(F.col("_bucket").alias("_b"), (F.col("_wanted") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
+    )
+    inside = hashed.join(F.broadcast(border), F.col("_bucket") == F.col("_b"))  # one row, or none of an empty table
+    ranked = inside.withColumn("_place", F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key)))
+    last = ranked.where("_place = _rank").agg(F.max(F.struct("_h", key))).scalar()
+    here = F.struct("_h", F.col(key))
+    return hashed.withColumn("is_test", F.coalesce(here <= last, F.lit(False))).drop("_h", "_bucket")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from spendlens import schemas
 from spendlens.config import BoundsScenario, BudgetConfig, ChannelBounds, ShareScenario, TouchConfig
 from spendlens.functions.columns import money_sum, parse, ratio
 from spendlens.functions.tables import LazyTables
-from spendlens.operators import attribution, budget, cleaning, facts, insights, kpis, regression, segments, touches, trends
+from spendlens.operators import attribution, budget, cleaning, distinct, facts, insights, kpis, regression, segments, touches, trends
 from spendlens.operators.joins import left_lookup, unique_lookup
 from spendlens.plans.analysis import Analysis
 from spendlens.plans.budget import channel_metrics as metrics_of
@@ -23,6 +23,7 @@ from spendlens.session import materialize, scratch_path
 from spendlens.sources import star
 from spendlens.sources.files import optional_source, read_csv, read_curated, read_json
 from spendlens.sources.profile import profile
+from spendlens.sources.quarantine import read_checked, write_checked
 from spendlens.sources.sinks import rounded, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +162,7 @@ RATIOS = {
     "cpc", "ctr", "cvr", "roas", "cac_proxy", "CPC", "CTR", "CVR", "ROAS", "CAC", "daily_cvr", "daily_roas",
     "weekly_cvr", "weekly_roas", "avg_roas", "avg_spend", "spend_per_session", "max_value", "min_value", "spread",
     "attributed_ROAS", "simple_ROAS", "last_touch_ROAS", "roas_difference", "allocated_pct",
+    "rolling_roas", "previous_roas", "roas_change",
 }
 
 
@@ -338,6 +340,12 @@ def promo_weeks(i: Inputs) -> DataFrame:
     return trends.promo_periods(trends.weekly_trends(i.analysis.channel_daily), "week_index")
 
 
+@query
+def rolling_roas(i: Inputs) -> DataFrame:
+    """Seven-day ROAS and its change over the seven days before; every fifth day is missing."""
+    return trends.rolling_roas(i.analysis.channel_daily.where(F.day("date") % 5 != 0))
+
+
 # --- Segments -------------------------------------------------------------------------------------------------------
 
 
@@ -463,6 +471,20 @@ def regression_coefficients(i: Inputs) -> DataFrame:
     return i.analysis.fit.table(i.spark).withColumn("rank", F.row_number().over(by_weight))
 
 
+@query
+def coefficient_intervals(i: Inputs) -> DataFrame:
+    """Bootstrap intervals of the regression coefficients."""
+    a = i.analysis
+    resampled = regression.bootstrap_coefficients(a.regression_table.where("not is_test"), replicates=100)
+    return regression.coefficient_intervals(a.fit, resampled)
+
+
+@query
+def daily_exact_split(i: Inputs) -> DataFrame:
+    """A fifth of the days, rounded up, as test days."""
+    return regression.with_exact_split(i.analysis.regression_table.drop("is_test")).select("date", "is_test")
+
+
 @query
 def channel_performance(i: Inputs) -> DataFrame:
     return i.stored_analysis.channel_performance
@@ -516,6 +538,28 @@ def allocate_share_campaigns(i: Inputs) -> DataFrame:
     return budget.allocate_by_share(campaigns, CAMPAIGN_SCENARIOS)
 
 
+@query(amount_digits=2)
+def allocate_optimal(i: Inputs) -> DataFrame:
+    """The best plan inside the share limits, for all scenarios."""
+    return budget.optimal_spend(budget.share_limits(i.metrics(), SHARE_SCENARIOS))
+
+
+@query(amount_digits=2)
+def optimal_gap(i: Inputs) -> DataFrame:
+    """What the proportional rule loses against the best plan."""
+    best = budget.optimal_spend(budget.share_limits(materialize(i.metrics(), "metrics"), SHARE_SCENARIOS))
+    return budget.optimal_gap(best, i.share_allocation)
+
+
+@query(amount_digits=2)
+def allocate_optimal_bounds(i: Inputs) -> DataFrame:
+    """The best plan inside absolute limits; channels without a positive coefficient keep their minimum."""
+    weights = i.analysis.fit.table(i.spark).select(
+        F.regexp_replace("feature", "^spend_", "").alias("channel"), F.col("coefficient").alias("regression_coefficient")
+    )
+    return budget.optimal_spend(budget.bounds_limits(weights, BOUNDS_SCENARIOS), whole_budget=False)
+
+
 @query(amount_digits=2)
 def impact(i: Inputs) -> DataFrame:
     return budget.impact_estimates(i.share_allocation)
@@ -555,6 +599,49 @@ def revenue_impact_full_history(i: Inputs) -> DataFrame:
     return budget.revenue_impact(a.regression_table, a.fit, i.bounds_allocation, config, parity=True)
 
 
+# --- Distinct counts that roll up ---------------------------------------------------------------------------------------
+
+
+@query
+def distinct_rollups(i: Inputs) -> DataFrame:
+    """Distinct sessions, users and buyers per channel, per week and in all, from one table of stored bitmaps."""
+    bitmaps = materialize(distinct.session_bitmaps(i.fact_sessions, i.tables["campaigns"]), "bitmaps")
+    week = F.date_trunc("week", "date").cast("date")
+    grains = {"channel": {"channel": F.col("channel")}, "week": {"week": week}, "total": {}}
+    parts = [distinct.distinct_counts(bitmaps, keys).withColumn("grain", F.lit(g)) for g, keys in grains.items()]
+    by_channel, by_week, total = parts
+    return by_channel.unionByName(by_week, allowMissingColumns=True).unionByName(total, allowMissingColumns=True)
+
+
+@query
+def sketches_within_bounds(i: Inputs) -> DataFrame:
+    """Weekly users and order-value quantiles from stored daily sketches, held against exact values of the same weeks."""
+    week = F.date_trunc("week", "date").cast("date")
+    sketches = materialize(distinct.daily_sketches(i.stored_sessions), "sketches")
+    guessed = distinct.merged_sketches(sketches, {"week": week}).select("week", F.col("users").alias("guess"), "orders", "q50", "q90")
+    rows = i.stored_sessions.select(
+        F.date_trunc("week", "session_date").cast("date").alias("week"), "user_id",
+        F.when(F.col("purchase_flag") == 1, F.col("gross_amount").cast("double")).alias("value"),
+    )
+
+    def rank_fits(quantile: str, share: float) -> Column:
+        below, upto = (F.count_if(F.col("value") < F.col(quantile)), F.count_if(F.col("value") <= F.col(quantile)))
+        n = F.count("value")
+        return (below <= (share + distinct.RANK_ERROR) * n) & (upto >= (share - distinct.RANK_ERROR) * n)
+
+    users = F.count_distinct("user_id")
+    return (
+        rows.join(guessed, "week")
+        .groupBy("week", "orders")
+        .agg(
+            users.alias("users"),
+            (F.abs(F.max("guess") / users - 1) <= 3 * 1.04 / 2 ** (distinct.LG_REGISTERS / 2)).alias("users_fit"),
+            rank_fits("q50", 0.5).alias("q50_fits"),
+            rank_fits("q90", 0.9).alias("q90_fits"),
+        )
+    )
+
+
 # --- Sources and sinks ----------------------------------------------------------------------------------------------
 
 
@@ -585,6 +672,23 @@ def csv_quoted_text(i: Inputs) -> DataFrame:
     return read_csv(i.spark, path, i.raw["products"].schema, multi_line=True)
 
 
+@query
+def quarantined_rows(i: Inputs) -> DataFrame:
+    """Orders of which some have malformed times or amounts: rows parsed, and rows rejected by reason."""
+    path, schema = scratch_path(i.spark, "orders-csv"), T.StructType([i.raw["orders"].schema[c] for c in ("order_id", "order_ts", "net_amount")])
+    text = i.raw["orders"].select(
+        "order_id",
+        F.when(F.col("order_id") % 13 == 0, "soon").otherwise(F.col("order_ts").cast("string")).alias("order_ts"),
+        F.when(F.col("order_id") % 17 == 0, "1.2.3").otherwise(F.col("net_amount").cast("string")).alias("net_amount"),
+    )
+    write_table(text, path, "csv")
+    parsed, rejected = write_checked(read_checked(i.spark, path, schema), scratch_path(i.spark, "orders-checked"))
+    good = parsed.agg(F.count(F.lit(1)).alias("n"), money_sum("net_amount").alias("net_amount"))
+    placed = rejected.where("source_file IS NOT NULL AND source_block IS NOT NULL AND source_row IS NOT NULL")
+    bad = placed.groupBy(F.concat_ws("; ", "reasons").alias("reason")).agg(F.count(F.lit(1)).alias("n"), money_sum("net_amount").alias("net_amount"))
+    return bad.unionByName(good.withColumn("reason", F.lit("none")))
+
+
 @query
 def curated_coerced(i: Inputs) -> DataFrame:
     """A channel fact with malformed dates in its CSV, read the way the analysis job does."""
