@@ -179,15 +179,19 @@ def bootstrap_coefficients(train: DataFrame, replicates: int = 200, key: str = "
         )
     )
 
+    def fitted(row: dict[str, float]) -> np.ndarray:
+        def product(f: str, g: str) -> float:
+            return row[f"{f}*{g}" if f"{f}*{g}" in row else f"{g}*{f}"] - row[f] * row[g] / row["n"]
+
+        gram = np.array([[product(f, g) for g in FEATURES] for f in FEATURES])
+        # constant in this replicate: what is left of its square is rounding
+        varies = np.diag(gram) > NULL_SHARE * np.array([row[f"{f}*{f}"] for f in FEATURES])
+        return _minimum_norm(gram * np.outer(varies, varies), np.array([product(f, TARGET) for f in FEATURES]) * varies)
+
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                def product(f: str, g: str, row: dict = row) -> float:
-                    return row[f"{f}*{g}" if f"{f}*{g}" in row else f"{g}*{f}"] - row[f] * row[g] / row["n"]
-
-                gram = np.array([[product(f, g) for g in FEATURES] for f in FEATURES])
-                weights = _minimum_norm(gram, np.array([product(f, TARGET) for f in FEATURES]))
-                yield pd.DataFrame({"replicate": row["replicate"], "feature": FEATURES, "coefficient": weights})
+                yield pd.DataFrame({"replicate": row["replicate"], "feature": FEATURES, "coefficient": fitted(row)})
 
     return moments.mapInPandas(solved, "replicate int, feature string, coefficient double")
 
