@@ -831,6 +831,9 @@ UNION ALL SELECT NULL, -1, count(*) FROM raw_order_items WHERE product_id IN (SE
     "missing_source": """SELECT device, count(*) AS session_rows, CAST(0 AS BIGINT) AS known_users FROM raw_sessions
 GROUP BY device""",
 }
+FINAL |= {"late_facts": FINAL["fact_sessions"], "allocate_share_rounds": FINAL["allocate_share_campaigns"]}
+
+
 def statement(final: str) -> str:
     """The final SELECT behind just those named subqueries it needs."""
     needed: set[str] = set()

@@ -91,6 +91,7 @@ class LayoutConfig:
     """How work is cut into tasks; no value changes a result."""
 
     orders_per_piece: int = 10_000  # of one session, before its orders are joined in pieces
+    array_channels: int = 64  # of a budget scenario that are shared out as one array; more are shared in rounds
     missing_key_spread: int = 4_096  # parts that rows without a lookup key scatter over
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.config import CHANNELS, BoundsScenario, BudgetConfig, ShareScenario
+from spendlens.config import CHANNELS, BoundsScenario, BudgetConfig, LayoutConfig, ShareScenario
 from spendlens.functions.columns import money_sum, ratio, struct_rows, whole_sum
 from spendlens.operators.regression import OlsFit
 from spendlens.operators.segments import enrich_order_items
+from spendlens.session import materialize
 
 TOLERANCE = 1e-6
 
@@ -112,17 +113,51 @@ def _shared(channels: str, budget: str) -> Column:
     return F.transform(F.array(F.col(channels)), fold).getItem(0)  # one element: the array is evaluated once
 
 
+def _folded(rows: DataFrame) -> DataFrame:
+    """``allocated`` by a fold over one array per scenario."""
+    columns = ("channel", "roas", "margin_per_dollar", "weight", "floor_spend", "cap_spend")
+    return (
+        rows.groupBy("scenario_id", "budget_total", "n")
+        .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("channels"))
+        .select("scenario_id", "budget_total", "n", _shared("channels", "budget_total").alias("shared"))
+        .selectExpr("scenario_id", "budget_total", "n", "inline(shared)")
+    )
+
+
+def _in_rounds(rows: DataFrame) -> DataFrame:
+    """``allocated`` by rounds over the table: what is left and what pulls are two sums per scenario, combined before the
+    shuffle. A round is stored; the driver sees whether one more is needed, no rows. Ends when nothing is left to share."""
+    state = materialize(rows.withColumn("allocated", F.col("floor_spend")), "round")
+    room = F.greatest(F.lit(0.0), F.col("cap_spend") - F.col("allocated"))
+    while True:
+        totals = state.groupBy("scenario_id").agg(
+            (F.max("budget_total") - F.sum("allocated")).alias("rest"), F.sum(F.col("weight") * room).alias("pull")
+        )
+        unshared = materialize(totals.where((F.col("rest") > TOLERANCE) & (F.col("pull") > 0)), "rest")
+        if unshared.isEmpty():
+            return state
+        share = F.when(F.col("rest").isNotNull(), F.least(F.col("rest") * F.col("weight") * room / F.col("pull"), room))
+        shared = state.join(F.broadcast(unshared), "scenario_id", "left")  # as many rows as the caller has scenarios
+        state = materialize(
+            shared.withColumn("allocated", F.col("allocated") + F.coalesce(share, F.lit(0.0))).drop("rest", "pull"), "round"
+        )
+
+
 def allocate_by_share(
-    metrics: DataFrame, scenarios: tuple[ShareScenario, ...] = (ShareScenario(),), rescale: bool = False
+    metrics: DataFrame,
+    scenarios: tuple[ShareScenario, ...] = (ShareScenario(),),
+    rescale: bool = False,
+    array_channels: int = LayoutConfig.array_channels,
 ) -> DataFrame:
     """Minimum share to every channel, the rest by ROAS x headroom up to the maximum share, overflow shared again.
 
-    Each round fills at least one channel or spends the rest, so there are as many rounds as the scenario has channels,
-    whatever their number: the channels of a scenario are one array, and the rounds a fold over it. When the maxima
-    cannot hold the budget the remainder is reported as ``unallocated``; ``rescale`` spreads it over the caps instead.
+    Each round fills at least one channel or spends the rest. Up to ``array_channels`` channels the channels of a scenario
+    are one array and the rounds a fold over it, in one plan; more are shared in rounds over the table, so that no task
+    holds a scenario. When the maxima cannot hold the budget the remainder is reported as ``unallocated``; ``rescale``
+    spreads it over the caps instead. ``metrics`` is counted first, so hand over a stored table.
     """
     everyone = "OVER (PARTITION BY scenario_id)"
-    plan = (
+    rows = (
         metrics.select(
             "channel", "roas", "margin_per_dollar", F.explode(struct_rows([vars(s) for s in scenarios])).alias("s")
         )
@@ -132,23 +167,17 @@ def allocate_by_share(
             "least(budget_total * min_pct, budget_total / n) AS floor_spend",
             "budget_total * max_pct AS cap_spend",
         )
-        .groupBy("scenario_id", "budget_total", "n")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("channel", "roas", "margin_per_dollar", "weight", "floor_spend", "cap_spend")
-                )
-            ).alias("channels")
-        )
-        .select("scenario_id", "budget_total", "n", _shared("channels", "budget_total").alias("shared"))
-        .selectExpr("scenario_id", "budget_total", "n", "inline(shared)")
+    )
+    few = metrics.limit(array_channels + 1).count() <= array_channels
+    plan = (
+        (_folded(rows) if few else _in_rounds(rows))
         .selectExpr("*", f"sum(weight) {everyone} AS weight_sum")
         .selectExpr(
             "*",
             """CASE WHEN weight_sum > 0 THEN least(greatest(allocated, floor_spend), cap_spend)
                ELSE budget_total / n END AS plan""",
         )
-    )
+    )
     allotted = f"sum(plan) {everyone}"
     spend = f"plan / {allotted} * budget_total" if rescale else "plan"
     return plan.selectExpr(

@@ -25,6 +25,7 @@ from spendlens.sources.files import optional_source, read_csv, read_curated, rea
 from spendlens.sources.profile import profile
 from spendlens.sources.quarantine import read_checked, write_checked
 from spendlens.sources.sinks import rounded, write_table
+from spendlens.streaming import late
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -459,6 +460,23 @@ def weekly_regression(i: Inputs) -> DataFrame:
     return regression.regression_table(i.analysis.channel_daily, "week_index").drop("day_of_week")
 
 
+def _weekly(i: Inputs) -> tuple[DataFrame, regression.OlsFit]:
+    table = regression.with_split(regression.regression_table(i.analysis.channel_daily, "week_index"), key="week_index")
+    table = materialize(table, "weeks")
+    return table, regression.fit_ols(table.where("not is_test"))
+
+
+@query
+def weekly_metrics(i: Inputs) -> DataFrame:
+    """Scores of the fit at week grain, every fifth week a test week."""
+    return regression.regression_metrics(*_weekly(i))
+
+
+@query
+def weekly_coefficients(i: Inputs) -> DataFrame:
+    return _weekly(i)[1].table(i.spark)
+
+
 @query
 def regression_metrics(i: Inputs) -> DataFrame:
     return regression.regression_metrics(i.analysis.regression_table, i.analysis.fit)
@@ -535,7 +553,18 @@ def allocate_share_campaigns(i: Inputs) -> DataFrame:
         .agg(money_sum("spend").alias("spend"), money_sum("attributed_revenue").alias("revenue"))
         .select("channel", ratio("revenue", "spend").alias("roas"), F.lit(0.0).alias("margin_per_dollar"))
     )
-    return budget.allocate_by_share(campaigns, CAMPAIGN_SCENARIOS)
+    return budget.allocate_by_share(materialize(campaigns, "campaigns"), CAMPAIGN_SCENARIOS)
+
+
+@query(amount_digits=2)
+def allocate_share_rounds(i: Inputs) -> DataFrame:
+    """The campaigns again, shared in rounds over the table, as very many would be."""
+    campaigns = (
+        i.fact_campaign_daily.groupBy(F.col("campaign_id").alias("channel"))
+        .agg(money_sum("spend").alias("spend"), money_sum("attributed_revenue").alias("revenue"))
+        .select("channel", ratio("revenue", "spend").alias("roas"), F.lit(0.0).alias("margin_per_dollar"))
+    )
+    return budget.allocate_by_share(materialize(campaigns, "campaigns"), CAMPAIGN_SCENARIOS, array_channels=0)
 
 
 @query(amount_digits=2)
@@ -642,6 +671,26 @@ def sketches_within_bounds(i: Inputs) -> DataFrame:
     )
 
 
+# --- Late data ------------------------------------------------------------------------------------------------------
+
+
+@query
+def late_facts(i: Inputs) -> DataFrame:
+    """The session fact after three drops of files in which rows come in any order."""
+    landing, store = scratch_path(i.spark, "landing"), scratch_path(i.spark, "late")
+    tables = {name: i.raw[name] for name in late.STREAMS}
+    unique = cleaning.deduplicate(i.raw["orders"], ["order_id"])
+    fence = cleaning.upper_fence(materialize(unique, "orders"), "net_amount", cleaning.CleaningConfig.iqr_multiplier).first()["fence"]
+    config = late.LateConfig(landing, store, float(fence), reach_days=1)
+    for drop in range(3):
+        for name, rows in tables.items():
+            mine = rows.where(F.pmod(F.xxhash64("ingest_seq"), F.lit(3)) == drop)
+            mine.write.mode("append").parquet(f"{landing}/{name}")
+        late.catch_up(i.spark, config, {n: t.schema for n, t in tables.items()}, i.raw["users"])
+    fact = i.spark.read.schema(i.fact_sessions.schema).parquet(config.fact)
+    return fact.select(i.fact_sessions.columns)
+
+
 # --- Sources and sinks ----------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,8 @@
 import datetime as dt
 from decimal import Decimal
 
+import random
+
 import numpy as np
 import pytest
 
@@ -201,3 +203,14 @@ def test_margin_over_lookback_and_all_time(spark):
     rows = {r.channel: r for r in budget.channel_metrics(channel_days, recent, since).collect()}
     assert set(rows) == {"email", "search"}  # ten days back, both ends included
     assert (rows["email"].roas, rows["email"].margin_per_dollar, rows["search"].margin_per_dollar) == (4.0, 2.0, 0.0)
+
+
+def test_rounds_over_the_table_equal_the_fold(spark):
+    random_ = random.Random(8)
+    roas = {f"c{i:03}": random_.choice([0.0, random_.uniform(0, 5), random_.uniform(0, 0.1)]) for i in range(40)}
+    scenarios = (ShareScenario("a", 100.0, 0.001, 0.06), ShareScenario("b", 100.0, 0.0, 0.026), ShareScenario("c", 50.0, 0.0, 0.9), ShareScenario("d", 50.0, 0.01, 0.02))
+    table = spark.createDataFrame([(c, r, 1.0) for c, r in roas.items()], "channel string, roas double, margin_per_dollar double")
+    fold, rounds = ({(r.scenario_id, r.channel): r.allocated_spend for r in budget.allocate_by_share(table, scenarios, array_channels=n).collect()} for n in (64, 0))
+    assert len(rounds) == 160 and rounds == pytest.approx(fold)
+    nothing = spark.createDataFrame([(c, 0.0, 1.0) for c in roas], "channel string, roas double, margin_per_dollar double")
+    assert {r.allocated_spend for r in budget.allocate_by_share(nothing, scenarios[:1], array_channels=0).collect()} == {2.5}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spendlens.operators import regression
 from spendlens.operators.regression import CHANNEL_FEATURES, FEATURES, TARGET
+from spendlens.plans.catalog import QUERIES, Inputs
 
 
 def history(n, seed=1, constant=False):
@@ -79,3 +80,19 @@ def test_exact_split(spark, n, share):
 def test_split_is_the_same_however_rows_lie(spark):
     sides = [regression.with_exact_split(spark.range(200).repartition(p), 0.3, "id").where("is_test").agg(F.sort_array(F.collect_set("id"))).first()[0] for p in (1, 9)]
     assert sides[0] == sides[1] and len(sides[0]) == 60
+
+
+def test_weekly_fit_is_the_shortest_one(spark):
+    """Fewer weeks than features: of all fits the one of least norm, and its scores on the test weeks."""
+    sf = "/root/testdata/sf0.001"
+    daily = Inputs(spark, sf).analysis.channel_daily
+    weeks = regression.with_split(regression.regression_table(daily, "week_index"), key="week_index").orderBy("week_index").collect()
+    x, y = np.array([[float(w[f]) for f in FEATURES] for w in weeks]), np.array([w[TARGET] for w in weeks])
+    test = np.array([w.is_test for w in weeks])
+    assert [w.week_index % 5 == 0 for w in weeks] == test.tolist() and 0 < test.sum() < len(test)
+    want = np.linalg.pinv(x[~test] - x[~test].mean(0), rcond=1e-9) @ (y[~test] - y[~test].mean())
+    found = {r.feature: r.coefficient for r in QUERIES["weekly_coefficients"](spark, sf).collect()}
+    assert [found[f] for f in FEATURES] == pytest.approx(want, rel=1e-3, abs=1e-3)
+    errors = np.abs(y[test] - (y[~test].mean() + (x[test] - x[~test].mean(0)) @ want))
+    scores = QUERIES["weekly_metrics"](spark, sf).first()
+    assert scores.n_test == test.sum() and scores.mae == pytest.approx(errors.mean(), rel=1e-3)
