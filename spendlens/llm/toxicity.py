@@ -105,10 +105,11 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, buckets = features(Words(batch.column(1), lower=True))
+        rows, buckets = features(Words(batch.column(2), lower=True))
         cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
         packed = [buckets[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["positive", "buckets"])
+        columns = [*batch.columns[:2], pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["positive", "_id", "buckets"])
 
 
 def train(
@@ -119,7 +120,9 @@ def train(
 
     Rows of the held-out fold are not used. ``prior`` is the share of toxic texts; by default that among all labelled
     rows outside the fold (the only use made of labels other than toxic). The samples are the first distinct ids by
-    their hashes: at most ``positives`` toxic ones and ``unlabelled`` of all.
+    their hashes: at most ``positives`` toxic ones and ``unlabelled`` of all. Of different texts of one id, the one whose
+    features come first counts; of different labels, the greatest. The same rows give the same weights, in whatever order
+    they come and whichever task is run again. No labels, or none that is toxic: the score is the prior everywhere.
     """
     bounded_batches(docs.sparkSession)
     known = (
@@ -133,18 +136,22 @@ def train(
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     learning = own.where(~held_out(F.col("_id")))
     sample = learning.select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(unlabelled)
-    rows = (
+    taken = (
         learning.join(F.broadcast(chosen), "_id", "left_semi")
-        .select(F.lit(True).alias("positive"), "_text", "_id")
+        .select(F.lit(True).alias("positive"), "_id", "_text")
         .unionByName(
-            learning.join(F.broadcast(sample), "_id", "left_semi").select(F.lit(False).alias("positive"), "_text", "_id")
+            learning.join(F.broadcast(sample), "_id", "left_semi").select(F.lit(False).alias("positive"), "_id", "_text")
         )
-        .dropDuplicates(["positive", "_id"])  # an id that many rows share is one training row
-        .select("positive", "_text")
-        .mapInArrow(_buckets, "positive boolean, buckets binary")
-        .collect()  # at most positives + unlabelled rows
     )
-    known_rows, other_rows = ([np.frombuffer(r[1], "<u4") for r in rows if r[0] is is_known] for is_known in (True, False))
+    schema = T.StructType([*taken.schema.fields[:2], T.StructField("buckets", T.BinaryType())])
+    rows = (
+        taken.mapInArrow(_buckets, schema)
+        .groupBy("positive", "_id")
+        .agg(F.min("buckets").alias("buckets"))  # an id that many rows share is one training row
+        .collect()  # at most positives + unlabelled rows, of 4 MB at the very most
+    )
+    rows.sort(key=lambda r: (r[0], r[1]))  # so that the weights do not depend on how the rows came
+    known_rows, other_rows = ([np.frombuffer(r[2], "<u4") for r in rows if r[0] is is_known] for is_known in (True, False))
     return fit(known_rows, other_rows, float(prior))
 
 

@@ -143,7 +143,8 @@ def test_filter_never_understates(spark):
     )
     bits = 1 << 20
     flags = np.zeros(bits // 8, np.uint8)
-    for made in bloom_lm._insert(bits)(iter([batch])):
+    batch = batch.sort_by("block")
+    for made in bloom_lm._insert(bits // bloom_lm.BLOCKS)(iter([batch.slice(0, 1000), batch.slice(1000)])):
         for block, part in zip(*(c.to_pylist() for c in made.columns), strict=True):
             width = bits // bloom_lm.BLOCKS // 8
             flags[block * width : (block + 1) * width] = np.frombuffer(part, np.uint8)
