@@ -190,7 +190,7 @@ def test_jobs_from_raw_files_to_reports(spark, tmp_path, file_format):
         "segment_city_tier", "category_performance", "segment_spreads", "segment_findings", "inefficiencies",
         "last_touch", "attributed_roas", "roas_comparison", "daily_regression", "regression_metrics",
         "regression_coefficients", "channel_performance", "bounds_allocation", "bounds_allocation_totals",
-        "revenue_impact",
+        "revenue_impact", "preceding_touch", "multi_touch",
     }
     assert spark.read.csv(f"{out}/budget_impact_totals", header=True).count() == 1
 
