@@ -129,7 +129,7 @@ def test_lm_counts_and_scores(small, edges):
 
 def test_lm_is_better_than_word_counts_on_held_out_texts(small):
     away = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    model, words = bloom_lm.train(small.where(~away))
+    model, words = bloom_lm.train(small.where(~away), bits=1 << 24)
     made = bloom_lm.score(small.where(away), model, words).agg(F.sum("score"), F.sum("base_score")).first()
     assert made[0] > made[1]
 
@@ -345,7 +345,7 @@ def test_empty_tables(spark, empty, edges):
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert bpe.encode_documents(empty, RANKS, public_tokenizers.PATTERN).count() == 0
     assert simhash.groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
-    model, words = bloom_lm.train(empty)
+    model, words = bloom_lm.train(empty, bits=1 << 20)
     assert bloom_lm.score(empty, model, words).count() == 0
     assert bloom_lm.score(edges, model, words).where("n_known = 0 and score <= 0").count() == edges.count()
     assert decontaminate.mark_contaminated(empty, no_items).count() == 0
