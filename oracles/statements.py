@@ -633,6 +633,12 @@ SELECT session_id, user_id, session_ts, session_date, device, channel, campaign_
 SELECT date, channel, CAST(CAST(total_spend AS DECIMAL(18,4)) AS VARCHAR) AS total_spend,
        CAST(CAST(attributed_revenue AS DECIMAL(18,4)) AS VARCHAR) AS attributed_revenue FROM fch""",
     "curated_rescan": f"SELECT {FCH} FROM fch",
+    "sorted_facts": """
+SELECT 'fact_campaign_daily' AS fact, row_number() OVER (ORDER BY date NULLS LAST, campaign_id NULLS LAST) - 1 AS position,
+       date, campaign_id AS key FROM fcd
+UNION ALL
+SELECT 'fact_channel_daily' AS fact, row_number() OVER (ORDER BY date NULLS LAST, channel NULLS LAST) - 1 AS position,
+       date, channel AS key FROM fch""",
     "channel_roas": f"""
 SELECT channel, {cols("attributed_revenue", "spend")}, {r10(div("attributed_revenue", "spend"))} AS ROAS
 FROM (SELECT channel, sum(attributed_revenue) AS attributed_revenue, sum(total_spend) AS spend FROM fch

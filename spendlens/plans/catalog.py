@@ -18,11 +18,11 @@ from spendlens.operators import attribution, budget, cleaning, distinct, facts,
 from spendlens.operators.joins import left_lookup, unique_lookup
 from spendlens.plans.analysis import Analysis
 from spendlens.plans.budget import channel_metrics as metrics_of
-from spendlens.plans.etl import Facts
+from spendlens.plans.etl import OUTPUTS, Facts
 from spendlens.session import materialize, scratch_path
 from spendlens.sources import star
 from spendlens.sources.files import optional_source, read_csv, read_curated, read_json
-from spendlens.sources.profile import profile
+from spendlens.sources.profile import profile, stored_positions
 from spendlens.sources.quarantine import read_checked, write_checked
 from spendlens.sources.sinks import rounded, write_table
 from spendlens.streaming import late
@@ -795,6 +795,25 @@ def curated_rescan(i: Inputs) -> DataFrame:
     return read_curated(i.spark, path, schemas.FACT_CHANNEL_DAILY, "csv")
 
 
+@query
+def sorted_facts(i: Inputs) -> DataFrame:
+    """Both daily facts as the job stores them: the place at which each row is found, and its key."""
+    def stored(name: str, fact: DataFrame) -> str:
+        path = scratch_path(i.spark, name)
+        write_table(fact, path, sort_by=OUTPUTS[name][1])
+        return path
+
+    def places(name: str, path: str) -> DataFrame:
+        key = F.col(OUTPUTS[name][1][1]).alias("key")
+        return stored_positions(i.spark, path).select(F.lit(name).alias("fact"), "position", "date", key)
+
+    campaigns = stored("fact_campaign_daily", i.fact_campaign_daily)
+    channels = facts.build_fact_channel_daily(i.tables, i.spark.read.parquet(campaigns))
+    return places("fact_campaign_daily", campaigns).unionByName(
+        places("fact_channel_daily", stored("fact_channel_daily", channels))
+    )
+
+
 QUERIES["rounded_report"] = lambda spark, sf_dir: rounded(_money_as_double(Inputs(spark, sf_dir).metrics()), 2)
 
 

@@ -1,8 +1,8 @@
-"""Table previews and profiles."""
+"""Table previews, profiles and the order of stored rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,20 @@ def profile(tables: dict[str, DataFrame]) -> DataFrame:
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """The first n rows that arrive."""
     return df.limit(n)
+
+
+def stored_positions(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a parquet table with ``position``, their place from 0 on in the order of the files and inside them.
+
+    A file's rows start where those of the files before it end. The running sum is over one row per file; the table's own
+    rows are neither shuffled nor sorted.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), "_metadata.row_index")
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = sizes.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return (
+        rows.join(starts, "_file")
+        .withColumn("position", F.col("_start") + F.col("row_index"))
+        .drop("_file", "_start", "row_index")
+    )

@@ -15,7 +15,7 @@ from spendlens.plans.catalog import QUERIES
 from spendlens.session import drop_scratch, materialize, shared_folder
 from spendlens.sources import star
 from spendlens.sources.files import load_raw, optional_source, read_csv, read_json
-from spendlens.sources.profile import preview, profile
+from spendlens.sources.profile import preview, profile, stored_positions
 from spendlens.sources.sinks import rounded, write_report, write_table
 
 SF = "/root/testdata/sf0.001"
@@ -215,3 +215,15 @@ def test_analysis_without_optional_files(spark, tmp_path):
     analysis.run(spark, JobConfig(str(tmp_path / "nothing"), out))
     assert spark.read.csv(f"{out}/analysis/daily_trends", header=True).count() == 0
     assert spark.read.csv(f"{out}/analysis/segment_channel_device", header=True).count() == 10
+
+
+def test_positions_follow_files(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(1000).selectExpr("999 - id AS k").repartition(7).write.parquet(path)
+    write_table(spark.read.parquet(path), str(tmp_path / "sorted"), sort_by=["k"])
+    placed = stored_positions(spark, str(tmp_path / "sorted")).collect()
+    assert sorted((r.position, r.k) for r in placed) == [(i, i) for i in range(1000)]
+    raw = [r.position for r in stored_positions(spark, path).collect()]  # several files
+    assert sorted(raw) == list(range(1000))
+    spark.createDataFrame([], "k long").write.parquet(str(tmp_path / "none"))
+    assert stored_positions(spark, str(tmp_path / "none")).collect() == []
