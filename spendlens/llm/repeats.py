@@ -125,7 +125,7 @@ def _compared(width: int, compare: Compare):
 
 def _counted(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """128-bit hashes of all windows of the contexts."""
+        """Two hashes of all windows of the contexts, both made of the 64-bit hashes of their words."""
         salt = spread(1, 99)[0]
         for batch in batches:
             gram, context, times, words = (batch.column(i) for i in (0, 1, 2, 4))

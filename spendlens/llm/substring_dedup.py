@@ -100,13 +100,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Documents with each word removed that lies in a window of ``width`` words which also starts somewhere else.
 
     ``text`` becomes the kept words joined by one space; ``n_words``, ``n_removed`` and ``spans`` (removed words, start
-    and end) are added. Columns of these names are replaced, others stay. Windows are judged on the input and compared
-    as sequences of exact words; all occurrences go. A null text has no words and gives an empty text; texts shorter
+    and end) are added. Columns of these names are replaced, others stay. Windows are judged on the input; words
+    count as written and are compared by 64-bit hashes. All occurrences go. A null text has no words and gives an empty text; texts shorter
     than a window keep all words; each of several equal rows is an occurrence.
 
     The reference shards are the contexts around an anchor (see ``repeats``), each in the task that has all of the
     anchor's occurrences. Automata of the whole corpus cannot be broadcast within any bound, and streaming every document
-    through every shard is quadratic; anchors bring together just the places that can match.
+    through every shard is quadratic; anchors bring together just the places that can match. Of anchors with very many
+    contexts windows are counted instead (README has the shares).
     """
     spans = spans_by_text(repeated_spans(docs, doc_id, text, width, by_automaton))
     own = ("n_words", "n_removed", "spans")

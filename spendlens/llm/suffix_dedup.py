@@ -59,8 +59,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     another place: the document's other columns, ``start_word``, ``end_word`` (exclusive) and ``passage_words``.
 
     Documents without such a passage have no row; a null or short text has none; each of several equal rows is an
-    occurrence and gets its rows. Columns of the added names are replaced. Words are compared exactly as written. Only
-    suffixes at minimiser positions are kept, and of those only the ones whose first words occur again are sorted.
+    occurrence and gets its rows. Columns of the added names are replaced. Words count as written
+    and are compared by 64-bit hashes. Only suffixes at minimiser positions are kept, and of those only the ones whose first words occur again are sorted.
     """
     spans = repeated_spans(docs, doc_id, text, least_words, by_suffixes)
     own = ("start_word", "end_word", "passage_words")
