@@ -6,6 +6,7 @@ import functools
 import json
 import re
 import struct
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import accumulate, count, islice
@@ -25,8 +26,11 @@ from spendlens.session import materialize
 CAPACITY = 2048
 #: Pieces that are numbered in one task, about; a length that more pieces have is numbered in several.
 BUCKET = 20_000
-#: Characters after which a long text is cut at the next blank, and distinct words whose ids a worker remembers.
-PIECE_CHARS, REMEMBERED = 1 << 20, 1 << 20
+#: Characters after which a long text is cut at the next blank.
+PIECE_CHARS = 1 << 20
+#: Bytes that the words and ids a worker remembers may take, apart from those of the batch or long text at hand; and of one
+#: of them beside its two strings.
+REMEMBERED_BYTES, _ENTRY = 1 << 27, 150
 #: Bytes of ids after which a task hands on what it has.
 _GATHER = 1 << 22
 
@@ -56,28 +60,44 @@ class WordIds:
             raise ValueError("not a tokenizer that lower-cases, drops white space and takes letters and punctuation apart")
         self._tokenizer = Tokenizer.from_str(tokenizer)
         self._model = self._tokenizer.model
-        self._forget()
-
-    def _forget(self) -> None:
         self._numbers = defaultdict(count().__next__)  # of the words met, in the order met
         self._ids: list[bytes] = []  # of each
+        self._bytes = 0  # of both
+        self._first = 0, 0  # words, and their bytes, that stay
+
+    def _forget(self) -> None:
+        """All words but those met first, as frequent ones are met early."""
+        words, self._bytes = self._first
+        self._numbers = defaultdict(count(words).__next__, zip(islice(self._numbers, words), range(words)))
+        del self._ids[words:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self._ids) > REMEMBERED:
+        """Little-endian unsigned 32-bit ids of each text.
+
+        What is remembered is bounded by its bytes: where blanks are rare, words are of any length.
+        """
+        if self._bytes > REMEMBERED_BYTES:
             self._forget()
         number = self._numbers.__getitem__
         numbered = [list(map(number, _words(text))) for text in texts]
         new = list(islice(reversed(self._numbers), len(self._numbers) - len(self._ids)))
-        self._ids += self._encode_words(new[::-1])
+        made = self._encode_words(new[::-1])
+        self._ids += made
+        self._bytes += sum(map(sys.getsizeof, new)) + sum(map(sys.getsizeof, made)) + _ENTRY * len(new)
+        if self._bytes <= REMEMBERED_BYTES // 4:
+            self._first = len(self._ids), self._bytes
         return [b"".join(map(self._ids.__getitem__, own)) for own in numbered]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word; words that differ by their case or punctuation only are encoded once."""
         cut = [(m[1].lower(), m[2]) if (m := _LETTERS.match(word)) else ("", word) for word in words]
         parts = dict.fromkeys((other for _, other in cut), False) | dict.fromkeys((word for word, _ in cut if word), True) | {"": False}
-        ids = {}
+        ids, met = {}, len(self._ids)
         for part, letters in parts.items():
+            number = self._numbers.get(part, met)
+            if number < met:  # a part is encoded like the word of the same characters
+                ids[part] = self._ids[number]
+                continue
             if letters:
                 made = [token.id for token in self._model.tokenize(part if part.isascii() else part.translate(_BYTE_LEVEL))]
             else:

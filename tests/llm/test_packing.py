@@ -1,6 +1,8 @@
 """Packing: pieces against the library's ids, sequences against exact search and bounds."""
 
 import random
+import string
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -66,6 +68,24 @@ def test_stretches_and_words_give_the_ids_of_the_whole_text(monkeypatch):
         assert b"".join(words.stretches(text)) == want
 
 
+def test_remembered_words_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 1 << 16, raising=False)
+    tokenizer, random_ = Tokenizer.from_file(WORDS), random.Random(5)
+    words, made = packing.WordIds(open(WORDS, encoding="utf-8").read()), []
+    encode_words = words._encode_words
+    monkeypatch.setattr(words, "_encode_words", lambda new: made.extend(new) or encode_words(new))
+    words.encode(["the and of"])
+    tracemalloc.start()
+    for _ in range(40):  # long words, as in texts without blanks: some 2.5 kB each with their ids
+        text = " ".join(["the", *("".join(random_.choices(string.ascii_lowercase, k=1000)) for _ in range(20)), "of"])
+        assert words.encode([text]) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    made.clear()
+    held = tracemalloc.get_traced_memory()[0]
+    words.encode(["and the of"])
+    tracemalloc.stop()
+    assert held < 1 << 18 and made == []  # the words met first are still known
+
+
 def test_all_letters_that_take_the_short_way():
     tokenizer = Tokenizer.from_file(WORDS)
     words = packing.WordIds(open(WORDS, encoding="utf-8").read())
